@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions.shipping import ship
+
 #: Bytes that separate words: space and 0x09-0x0D.
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
@@ -30,7 +32,8 @@ _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Columns by exact name; others go, also those that differ only in case."""
+    """Columns by exact name; others go, also those that differ only in case. Workers can import this package from here on."""
+    ship(df.sparkSession)
     columns = df.columns
     missing = [n for n in names if n not in columns]
     if missing:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from corpusmill.llm.packing import op4_packing
 from corpusmill.llm.simhash import op6_simhash
+from corpusmill.llm.substring import op9_substring
 
 QUERIES = {
+    "op4_packing": op4_packing,
     "op6_simhash": op6_simhash,
+    "op9_substring": op9_substring,
 }
 
 ORACLES: dict[str, str] = {}
