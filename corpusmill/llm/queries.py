@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from corpusmill.llm.decontaminate import op5_decontaminate
+from corpusmill.llm.langid import op10_langid
 from corpusmill.llm.packing import op4_packing
 from corpusmill.llm.simhash import op6_simhash
 from corpusmill.llm.substring import op9_substring
 
 QUERIES = {
     "op4_packing": op4_packing,
+    "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op9_substring": op9_substring,
+    "op10_langid": op10_langid,
 }
 
 ORACLES: dict[str, str] = {}
