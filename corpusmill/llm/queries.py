@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from corpusmill.llm.decontaminate import op5_decontaminate
+from corpusmill.llm.embeddings import op3_embeddings
 from corpusmill.llm.langid import op10_langid
 from corpusmill.llm.packing import op4_packing
 from corpusmill.llm.simhash import op6_simhash
 from corpusmill.llm.substring import op9_substring
+from corpusmill.llm.urls import op2_urls
 
 QUERIES = {
+    "op2_urls": op2_urls,
+    "op3_embeddings": op3_embeddings,
     "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
