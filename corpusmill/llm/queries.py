@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from corpusmill.llm.decontaminate import op5_decontaminate
 from corpusmill.llm.embeddings import op3_embeddings
+from corpusmill.llm.html_extract import op7_html
 from corpusmill.llm.langid import op10_langid
+from corpusmill.llm.licenses import op8_licenses
 from corpusmill.llm.packing import op4_packing
+from corpusmill.llm.quality import op1_quality
 from corpusmill.llm.simhash import op6_simhash
 from corpusmill.llm.substring import op9_substring
 from corpusmill.llm.urls import op2_urls
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_urls": op2_urls,
     "op3_embeddings": op3_embeddings,
     "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
+    "op7_html": op7_html,
+    "op8_licenses": op8_licenses,
     "op9_substring": op9_substring,
     "op10_langid": op10_langid,
 }
