@@ -100,7 +100,7 @@ def train(features: np.ndarray, target: np.ndarray, languages: list[str], dim: i
     order = rng.permutation(n)
     held = order[: n // 5] if n >= 5 * k else order[:0]
     rest = order[len(held) :]
-    scale = np.float32(1 / max(1e-9, np.sqrt((features**2).sum(axis=1).mean())))
+    scale = np.float32(1 / max(1e-9, np.sqrt(np.einsum("ij,ij->i", features, features).mean())))
     emb = (rng.standard_normal((features.shape[1], dim)) / np.sqrt(dim)).astype(np.float32)
     lin = np.zeros((dim, k), np.float32)
     bias = np.zeros(k, np.float32)
@@ -153,19 +153,24 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1) -> Mod
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in slices(batches):
-            ids = []
+            ids, shares = [], []
             for a, b in zip(off[:-1], off[1:]):
                 d = normal(data[a:b])
                 count = np.bincount(np.concatenate([subwords(d, k) for k in ORDERS]), minlength=BUCKETS)
-                ids.append((count / max(1, count.sum())).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), pa.array(ids, pa.binary())], names=["h", "lang", "x"])
+                some = np.flatnonzero(count)
+                ids.append(some.astype("<u2").tobytes())
+                shares.append((count[some] / max(1, count.sum())).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], names=["h", "lang", "ids", "shares"])
 
     bound = per_language * len(languages) * 2 + 100
-    got = sample.select("text", "h", "lang").mapInArrow(features, "h bigint, lang string, x binary").limit(bound).toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), "<f4").reshape(-1, BUCKETS)
-    y = np.array([languages.index(v) for v in got.column("lang").to_pylist()], np.int64)
-    order = np.lexsort((y, np.array(got.column("h"))))
-    return train(x[order], y[order], languages, seed=seed)
+    got = sample.select("text", "h", "lang").mapInArrow(features, "h bigint, lang string, ids binary, shares binary").limit(bound).toArrow()
+    names = np.array([languages.index(v) for v in got.column("lang").to_pylist()], np.int64)
+    order = np.lexsort((names, np.array(got.column("h"))))
+    x = np.zeros((len(order), BUCKETS), np.float32)
+    for row, i in enumerate(order.tolist()):
+        x[row, np.frombuffer(got.column("ids")[i].as_buffer(), "<u2")] = np.frombuffer(got.column("shares")[i].as_buffer(), "<f4")
+    del got
+    return train(x, names[order], languages, seed=seed)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
