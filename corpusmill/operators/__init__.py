@@ -1,0 +1 @@
+"""Operators: DataFrames to DataFrames."""
