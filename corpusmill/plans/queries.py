@@ -1,6 +1,451 @@
-"""Registered queries of the core library."""
+"""Registered queries of the core library over the standard tables, with equivalent SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.config import PackingConfig, PrepOptions
+from corpusmill.functions.indexing import with_row_index
+from corpusmill.functions.planning import SplitCounts
+from corpusmill.functions.storage import written
+from corpusmill.functions.text import affixed, space_separated
+from corpusmill.functions.tokenizers import WordHashTokenizer, build_vocabulary, encode_with_vocabulary
+from corpusmill.operators import articles as art
+from corpusmill.operators import balance, chat, decode, metrics, packing, splits, validate
+from corpusmill.sources import lines as src
+from corpusmill.sources import outputs
+
+TOKENIZER = WordHashTokenizer()
+EOS, PAD = TOKENIZER.eos_id, TOKENIZER.pad_id
+DOC_LENGTH, PAIR_LENGTH, SPLITS = 256, 64, 32
+#: Splits of the conversations: train, dev, test.
+LABELS = SplitCounts(train=7, dev=2, test=1)
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), F.col("text").alias("value"))
+
+
+def _document_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of all documents, dealt to SPLITS splits."""
+    dealt = splits.round_robin(_documents(spark, sf_dir), SPLITS)
+    return art.articles_from_text(dealt, TOKENIZER).join(dealt.select("line_no", "split_idx"), "line_no")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.turns_to_pairs(_table(spark, sf_dir, "conversations")).withColumnRenamed("conv_id", "line_no")
+    counts = pairs.groupBy("line_no").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return pairs.join(counts, "line_no")
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines (conversations with pairs) with their split and dataset type."""
+    lines = _pairs(spark, sf_dir).select("line_no").distinct()
+    return splits.with_labels(splits.round_robin(lines, LABELS.total), LABELS)
+
+
+def _pair_sequences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, articles, packed) of the conversations, full packing, without the test split."""
+    lines = written(_labelled(spark, sf_dir)).where("dataset_type <> 'test'")
+    made = art.articles_from_pairs(_pairs(spark, sf_dir), TOKENIZER, PrepOptions())
+    labels = lines.select("line_no", "split_idx", "dataset_type", "shard_no")
+    made = written(made.join(labels, "line_no"))
+    packed = packing.pack(made, PackingConfig(), PAIR_LENGTH, PAD).join(lines.select("split_idx", "dataset_type", "shard_no").distinct(), "split_idx")
+    return lines, made, packed
+
+
+_WORDS = r"'\p{L}+|\p{N}+|[^\s\p{L}\p{N}]'"
+_ID = "('0x' || substr(md5(w), 1, 7))::BIGINT"
+
+# doc_tokens(line_no, pos, token_id, type_id, n)
+_DOC_TOKENS = f"""
+dw AS (SELECT doc_id AS line_no, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents),
+doc_tokens AS (
+  SELECT line_no, pos, {_ID} AS token_id, 1 AS type_id, n FROM (SELECT line_no, len(ws) + 1 AS n, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM dw)
+  UNION ALL SELECT line_no, len(ws), {EOS}, 3, len(ws) + 1 FROM dw WHERE len(ws) > 0),
+dealt AS (SELECT doc_id AS line_no, (row_number() OVER (ORDER BY doc_id) - 1) % {SPLITS} AS split_idx FROM documents)"""
+
+_PAIRS = """
+turns AS (SELECT *, coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pair_no FROM conversations),
+bare AS (SELECT conv_id AS line_no, pair_no, coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), '') AS prompt, coalesce(arg_max(text, turn) FILTER (WHERE role = 'assistant'), '') AS completion
+  FROM turns GROUP BY 1, 2 HAVING count(*) FILTER (WHERE role = 'assistant') > 0),
+pairs AS (SELECT *, count(*) OVER (PARTITION BY line_no) AS n_pairs FROM bare)"""
+
+
+def _pair_tokens(source: str = "(SELECT * FROM pairs WHERE completion <> '')") -> str:
+    """pair_tokens(line_no, pair_no, n_pairs, pos, token_id, type_id, n)"""
+    return f"""
+pw AS (SELECT line_no, pair_no, n_pairs, regexp_extract_all(prompt, {_WORDS}) AS p, regexp_extract_all(completion, {_WORDS}) AS c FROM {source}),
+pair_tokens AS (
+  SELECT line_no, pair_no, n_pairs, pos, {_ID} AS token_id, 0 AS type_id, n FROM (SELECT line_no, pair_no, n_pairs, len(p) + len(c) + 1 AS n, unnest(range(len(p))) AS pos, unnest(p) AS w FROM pw)
+  UNION ALL SELECT line_no, pair_no, n_pairs, pos, {_ID}, 1, n FROM (SELECT line_no, pair_no, n_pairs, len(p) + len(c) + 1 AS n, unnest(range(len(p), len(p) + len(c))) AS pos, unnest(c) AS w FROM pw)
+  UNION ALL SELECT line_no, pair_no, n_pairs, len(p) + len(c), {EOS}, 1, len(p) + len(c) + 1 FROM pw WHERE len(p) + len(c) > 0)"""
+
+
+_LINE_TOKENS = """
+line_tokens AS (SELECT line_no, row_number() OVER (PARTITION BY line_no ORDER BY pair_no, pos) - 1 AS pos, token_id,
+  CASE WHEN row_number() OVER (PARTITION BY line_no ORDER BY pair_no DESC, pos DESC) = 1 THEN 3 ELSE type_id END AS type_id FROM pair_tokens)"""
+
+_LABELS = f"""
+lines AS (SELECT line_no, (row_number() OVER (ORDER BY line_no) - 1) % {LABELS.total} AS split_idx FROM (SELECT DISTINCT line_no FROM pairs)),
+labelled AS (SELECT *, CASE WHEN split_idx < {LABELS.train} THEN 'train' WHEN split_idx < {LABELS.train + LABELS.test} THEN 'test' ELSE 'dev' END AS dataset_type,
+  (CASE WHEN split_idx < {LABELS.train} THEN split_idx WHEN split_idx < {LABELS.train + LABELS.test} THEN split_idx - {LABELS.train} ELSE split_idx - {LABELS.train + LABELS.test} END + 1)::INT AS shard_no FROM lines)"""
+
+_PAIR_PACKED = f"""
+placed AS (SELECT split_idx, dataset_type, shard_no, row_number() OVER (PARTITION BY split_idx ORDER BY line_no, pos) - 1 AS p, token_id, type_id FROM line_tokens JOIN labelled USING (line_no) WHERE dataset_type <> 'test'),
+ends AS (SELECT split_idx, dataset_type, shard_no, max(p) + 1 AS n FROM placed GROUP BY ALL),
+packed AS (
+  SELECT split_idx, dataset_type, shard_no, p // {PAIR_LENGTH} AS seq, p % {PAIR_LENGTH} AS pos, token_id, type_id FROM placed
+  UNION ALL SELECT split_idx, dataset_type, shard_no, n // {PAIR_LENGTH}, i, {PAD}, 2 FROM (SELECT *, unnest(range(n % {PAIR_LENGTH}, {PAIR_LENGTH})) AS i FROM ends WHERE n % {PAIR_LENGTH} > 0)),
+kinds AS (SELECT split_idx, dataset_type, shard_no, seq, bool_or(type_id = 1) AS kept FROM packed GROUP BY ALL)"""
+_PAIR_ALL = f"WITH {_PAIRS}, {_pair_tokens()}, {_LINE_TOKENS}, {_LABELS}, {_PAIR_PACKED}"
+
+
+def _flat(sequences: DataFrame, *keys: str) -> DataFrame:
+    return art.flat_tokens(sequences, *keys).drop("category_id")
+
+
+@query("tokenize_documents", f"WITH {_DOC_TOKENS} SELECT line_no AS doc_id, pos::BIGINT AS pos, token_id, type_id::BIGINT AS type_id FROM doc_tokens")
+def tokenize_documents(spark, sf_dir):
+    made = art.articles_from_text(_documents(spark, sf_dir), TOKENIZER).withColumnRenamed("line_no", "doc_id")
+    return _flat(made, "doc_id")
+
+
+@query("pack_full", f"""WITH {_DOC_TOKENS},
+placed AS (SELECT split_idx, row_number() OVER (PARTITION BY split_idx ORDER BY line_no, pos) - 1 AS p, token_id, type_id FROM doc_tokens JOIN dealt USING (line_no)),
+ends AS (SELECT split_idx, max(p) + 1 AS n FROM placed GROUP BY 1)
+SELECT split_idx::BIGINT AS split_idx, (p // {DOC_LENGTH})::BIGINT AS seq, (p % {DOC_LENGTH})::BIGINT AS pos, token_id, type_id::BIGINT AS type_id FROM placed
+UNION ALL SELECT split_idx, n // {DOC_LENGTH}, i, {PAD}, 2 FROM (SELECT *, unnest(range(n % {DOC_LENGTH}, {DOC_LENGTH})) AS i FROM ends WHERE n % {DOC_LENGTH} > 0)""")
+def pack_full(spark, sf_dir):
+    return _flat(packing.pack_full(_document_articles(spark, sf_dir), DOC_LENGTH, PAD), "split_idx", "seq")
+
+
+def _single(overflow: str):
+    keep = {"drop": f"n <= {DOC_LENGTH}", "truncate_left": f"pos >= n - {DOC_LENGTH}", "truncate_right": f"pos < {DOC_LENGTH}"}[overflow]
+    shift = f"greatest(n - {DOC_LENGTH}, 0)" if overflow == "truncate_left" else "0"
+    sql = f"""WITH {_DOC_TOKENS},
+kept AS (SELECT line_no, split_idx, pos - {shift} AS pos, token_id, type_id FROM doc_tokens JOIN dealt USING (line_no) WHERE {keep}),
+numbered AS (SELECT line_no, split_idx, count(*) AS n, row_number() OVER (PARTITION BY split_idx ORDER BY line_no) - 1 AS seq FROM kept GROUP BY 1, 2)
+SELECT k.split_idx::BIGINT AS split_idx, seq::BIGINT AS seq, pos::BIGINT AS pos, token_id, type_id::BIGINT AS type_id FROM kept k JOIN numbered USING (line_no)
+UNION ALL SELECT split_idx, seq, i, {PAD}, 2 FROM (SELECT *, unnest(range(n, {DOC_LENGTH})) AS i FROM numbered WHERE n < {DOC_LENGTH})"""
+
+    @query(f"pack_single_{overflow}", sql)
+    def run(spark, sf_dir):
+        return _flat(packing.pack_single(_document_articles(spark, sf_dir), DOC_LENGTH, PAD, overflow), "split_idx", "seq")
+
+
+def _greedy_sql(overflow: str) -> str:
+    oversize = 0 if overflow == "drop" else DOC_LENGTH
+    return f"""WITH RECURSIVE {_DOC_TOKENS},
+sizes AS (SELECT split_idx, line_no, max(n) AS n FROM doc_tokens JOIN dealt USING (line_no) GROUP BY 1, 2),
+a AS (SELECT *, row_number() OVER (PARTITION BY split_idx ORDER BY line_no) - 1 AS aid FROM sizes),
+r(split_idx, aid, line_no, seq, at, kept, used) AS (
+  SELECT DISTINCT split_idx, -1::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM a
+  UNION ALL SELECT a.split_idx, a.aid, a.line_no,
+    CASE WHEN r.used + a.n <= {DOC_LENGTH} THEN r.seq ELSE r.seq + CASE WHEN r.used > 0 THEN 1 ELSE 0 END END,
+    CASE WHEN r.used + a.n <= {DOC_LENGTH} THEN r.used ELSE 0 END,
+    CASE WHEN a.n <= {DOC_LENGTH} THEN a.n ELSE {oversize} END,
+    CASE WHEN r.used + a.n <= {DOC_LENGTH} THEN r.used + a.n WHEN a.n <= {DOC_LENGTH} THEN a.n ELSE {oversize} END
+  FROM r JOIN a ON a.split_idx = r.split_idx AND a.aid = r.aid + 1),
+g AS (SELECT * FROM r WHERE kept > 0)"""
+
+
+def _greedy(overflow: str):
+    @query(f"pack_greedy_{overflow}", _greedy_sql(overflow) + " SELECT split_idx::BIGINT AS split_idx, line_no AS doc_id, seq, at, kept FROM g")
+    def assignment(spark, sf_dir):
+        made = packing.greedy_assignment(written(_document_articles(spark, sf_dir)), DOC_LENGTH, overflow)
+        return made.select("split_idx", F.col("line_no").alias("doc_id"), "seq", "at", "kept")
+
+    keep = {"drop": "true", "truncate_left": "pos >= n - kept", "truncate_right": "pos < kept"}[overflow]
+    shift = "(n - kept)" if overflow == "truncate_left" else "0"
+
+    @query(f"pack_greedy_{overflow}_sequences", _greedy_sql(overflow) + f""",
+t AS (SELECT g.split_idx, seq, at + pos - {shift} AS pos, token_id, type_id FROM doc_tokens JOIN g USING (line_no) WHERE {keep})
+SELECT split_idx::BIGINT AS split_idx, seq, count(*)::BIGINT AS n_tokens, ({DOC_LENGTH} - count(*))::BIGINT AS n_padding, sum((pos + 1) * token_id)::BIGINT AS place_sum, sum((pos + 1) * type_id)::BIGINT AS type_sum FROM t GROUP BY 1, 2""")
+    def sequences(spark, sf_dir):
+        packed = packing.pack_greedy(written(_document_articles(spark, sf_dir)), DOC_LENGTH, PAD, overflow)
+        rows = art.flat_tokens(packed, "split_idx", "seq")
+        own = F.col("type_id") != 2
+        total = lambda c: F.sum(F.when(own, (F.col("pos") + 1) * F.col(c)))
+        return rows.groupBy("split_idx", "seq").agg(F.count_if(own).alias("n_tokens"), F.count_if(~own).alias("n_padding"), total("token_id").alias("place_sum"), total("type_id").alias("type_sum"))
+
+
+for _overflow in ("drop", "truncate_left", "truncate_right"):
+    _single(_overflow)
+    _greedy(_overflow)
+
+
+@query("split_round_robin", "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) % 8)::BIGINT AS split_idx FROM documents")
+def split_round_robin(spark, sf_dir):
+    return splits.round_robin(_documents(spark, sf_dir), 8).select(F.col("line_no").alias("doc_id"), "split_idx")
+
+
+@query("split_ntile_shuffle", """WITH s AS (SELECT doc_id, md5('7:' || doc_id) AS k, ntile(8) OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1 AS split_idx FROM documents)
+SELECT doc_id, split_idx::BIGINT AS split_idx, (row_number() OVER (PARTITION BY split_idx ORDER BY k, doc_id) - 1)::BIGINT AS pos FROM s""")
+def split_ntile_shuffle(spark, sf_dir):
+    return splits.shuffled_splits(_documents(spark, sf_dir), 8, seed=7).select(F.col("line_no").alias("doc_id"), "split_idx", "pos")
+
+
+@query("bucket_shuffle", """WITH s AS (SELECT doc_id, md5('7:' || doc_id) AS k, (row_number() OVER (ORDER BY doc_id) - 1) % 50 AS split_idx FROM documents)
+SELECT doc_id, split_idx::BIGINT AS split_idx, (row_number() OVER (PARTITION BY split_idx ORDER BY k, doc_id) - 1)::BIGINT AS pos FROM s""")
+def bucket_shuffle(spark, sf_dir):
+    return splits.bucket_shuffle(_documents(spark, sf_dir), 50, seed=7).select(F.col("line_no").alias("doc_id"), "split_idx", "pos")
+
+
+@query("split_labels", """WITH s AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 45 AS i FROM documents)
+SELECT doc_id, CASE WHEN i < 32 THEN 'train' WHEN i < 36 THEN 'test' ELSE 'dev' END AS dataset_type, (CASE WHEN i < 32 THEN i + 1 WHEN i < 36 THEN i - 31 ELSE i - 35 END)::INT AS shard_no,
+CASE WHEN i < 32 THEN 'train_' || (i + 1) || '_of_32' WHEN i < 36 THEN 'test_' || (i - 31) || '_of_4' ELSE 'dev_' || (i - 35) || '_of_9' END AS split_name FROM s""")
+def split_labels(spark, sf_dir):
+    from corpusmill.functions.planning import split_counts
+
+    counts = split_counts(1, train=32, dev_ratio=0.2, test_ratio=0.1)
+    made = splits.with_labels(splits.round_robin(_documents(spark, sf_dir), counts.total), counts)
+    return made.select(F.col("line_no").alias("doc_id"), "dataset_type", "shard_no", "split_name")
+
+
+@query("chat_to_pairs", f"WITH {_PAIRS} SELECT line_no AS conv_id, pair_no, prompt, completion FROM pairs")
+def chat_to_pairs(spark, sf_dir):
+    return chat.turns_to_pairs(_table(spark, sf_dir, "conversations"))
+
+
+@query("space_separator", f"WITH {_PAIRS} SELECT line_no AS conv_id, pair_no, rtrim(prompt || '  ', ' ') AS prompt, CASE WHEN completion = '' THEN '' ELSE ' ' || ltrim('   ' || completion, ' ') END AS completion FROM pairs")
+def space_separator(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    spaced = F.when(F.col("completion") == "", F.col("completion")).otherwise(F.concat(F.lit("   "), "completion"))
+    prompt, completion = space_separated(F.concat("prompt", F.lit("  ")), spaced)
+    return pairs.select(F.col("line_no").alias("conv_id"), "pair_no", prompt.alias("prompt"), completion.alias("completion"))
+
+
+@query("prompt_affixes", f"WITH {_PAIRS} SELECT line_no AS conv_id, pair_no, CASE WHEN prompt = '' THEN '' ELSE '<human> ' || prompt || ' <bot>' END AS prompt FROM pairs")
+def prompt_affixes(spark, sf_dir):
+    return _pairs(spark, sf_dir).select(F.col("line_no").alias("conv_id"), "pair_no", affixed(F.col("prompt"), "<human> ", " <bot>").alias("prompt"))
+
+
+@query("tokenize_pairs", f"WITH {_PAIRS}, {_pair_tokens()} SELECT line_no AS conv_id, pair_no, pos::BIGINT AS pos, token_id, type_id::BIGINT AS type_id FROM pair_tokens")
+def tokenize_pairs(spark, sf_dir):
+    made = art.with_pair_tokens(art.prepare_pairs(_pairs(spark, sf_dir), PrepOptions()), TOKENIZER)
+    return _flat(made.withColumnRenamed("line_no", "conv_id"), "conv_id", "pair_no")
+
+
+@query("line_articles", f"WITH {_PAIRS}, {_pair_tokens()}, {_LINE_TOKENS} SELECT line_no AS conv_id, pos::BIGINT AS pos, token_id, type_id::BIGINT AS type_id FROM line_tokens")
+def line_articles(spark, sf_dir):
+    made = art.articles_from_pairs(_pairs(spark, sf_dir), TOKENIZER, PrepOptions())
+    return _flat(made.withColumnRenamed("line_no", "conv_id"), "conv_id")
+
+
+@query("pair_boundary", f"WITH {_PAIRS}, {_pair_tokens()} SELECT line_no AS conv_id, pair_no AS art_no, pos::BIGINT AS pos, token_id, (CASE WHEN pair_no = n_pairs - 1 AND pos = n - 1 THEN 3 ELSE type_id END)::BIGINT AS type_id FROM pair_tokens")
+def pair_boundary(spark, sf_dir):
+    made = art.articles_from_pairs(_pairs(spark, sf_dir), TOKENIZER, PrepOptions(packing_boundary="prompt_completion_pair"))
+    return _flat(made.withColumnRenamed("line_no", "conv_id"), "conv_id", "art_no")
+
+
+@query("attention_boundary", f"WITH {_PAIRS}, {_pair_tokens()} SELECT line_no AS conv_id, (row_number() OVER (PARTITION BY line_no ORDER BY pair_no, pos) - 1)::BIGINT AS pos, token_id, (CASE WHEN pos = n - 1 THEN 3 ELSE type_id END)::BIGINT AS type_id FROM pair_tokens")
+def attention_boundary(spark, sf_dir):
+    made = art.articles_from_pairs(_pairs(spark, sf_dir), TOKENIZER, PrepOptions(attention_boundary="prompt_completion_pair"))
+    return _flat(made.withColumnRenamed("line_no", "conv_id"), "conv_id")
+
+
+_ONE = """'{"prompt": "' || event_type || '", "completion": "' || event_id || '"}'"""
+_LINE = f"""CASE event_id % 7 WHEN 0 THEN substr({_ONE}, 1, length({_ONE}) - 1) WHEN 1 THEN '[' || {_ONE} || ']' WHEN 2 THEN '{{"prompt": "' || event_type || '"}}'
+  WHEN 3 THEN '[' || {_ONE} || ', ' || {_ONE} || ']' WHEN 4 THEN '"' || event_type || '"' WHEN 5 THEN '' ELSE {_ONE} END"""
+
+
+def _json_lines(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.expr(_LINE).alias("value"))
+
+
+_JSON_SQL = f"""WITH l AS (SELECT event_id, {_LINE} AS value FROM events),
+items AS (SELECT event_id, value, CASE WHEN NOT json_valid(value) THEN NULL WHEN json_type(value) = 'OBJECT' THEN json_transform('[' || value || ']', '[{{"prompt": "VARCHAR", "completion": "VARCHAR"}}]')
+  WHEN json_type(value) = 'ARRAY' THEN json_transform(value, '[{{"prompt": "VARCHAR", "completion": "VARCHAR"}}]') END AS items FROM l),
+good AS (SELECT *, items IS NOT NULL AND len(list_filter(items, lambda x: x.completion IS NULL)) = 0 AS ok FROM items)"""
+
+
+@query("json_accept", _JSON_SQL + " SELECT event_id, pair_no::BIGINT AS pair_no, coalesce(x.prompt, '') AS prompt, x.completion AS completion FROM (SELECT event_id, unnest(range(len(items))) AS pair_no, unnest(items) AS x FROM good WHERE ok)")
+def json_accept(spark, sf_dir):
+    pairs = src.pairs_of(src.accepted(src.parse_lines(_json_lines(spark, sf_dir))))
+    return pairs.select(F.col("line_no").alias("event_id"), "pair_no", "prompt", "completion")
+
+
+@query("json_reject", _JSON_SQL + " SELECT event_id, value FROM good WHERE NOT ok")
+def json_reject(spark, sf_dir):
+    return src.rejects(src.parse_lines(_json_lines(spark, sf_dir))).select(F.col("line_no").alias("event_id"), "value")
+
+
+@query("prompt_only_filter", _PAIR_ALL + " SELECT split_idx::BIGINT AS split_idx, seq::BIGINT AS seq, pos::BIGINT AS pos, token_id, type_id::BIGINT AS type_id FROM packed JOIN (SELECT split_idx, seq FROM kinds WHERE kept) USING (split_idx, seq)")
+def prompt_only_filter(spark, sf_dir):
+    return _flat(packing.without_prompt_only(_pair_sequences(spark, sf_dir)[2]), "split_idx", "seq")
+
+
+_CATEGORIES = ["src0", "src1", "src2", "src7", "src1"]
+
+
+@query("category_lookup", "SELECT doc_id, (CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 4 WHEN 'src2' THEN 2 WHEN 'src7' THEN 3 ELSE -1 END)::INT AS category_id FROM documents")
+def category_lookup(spark, sf_dir):
+    known = src.category_ids(spark.range(1).select(F.array(*map(F.lit, _CATEGORIES)).alias("names")))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("category"))
+    return art.with_category_ids(docs, known, strict=False).select("doc_id", "category_id")
+
+
+_METRICS = _PAIR_ALL + f""",
+n_lines AS (SELECT dataset_type, count(*) AS articles FROM labelled WHERE dataset_type <> 'test' GROUP BY 1),
+n_input AS (SELECT dataset_type, count(*) AS input_tokens FROM placed GROUP BY 1),
+n_output AS (SELECT k.dataset_type, count(*) FILTER (WHERE kept) AS output_tokens, count(DISTINCT (split_idx, seq)) FILTER (WHERE kept) AS sequences, count(*) FILTER (WHERE kept AND type_id = 0) AS prompt_tokens,
+  count(*) FILTER (WHERE kept AND type_id IN (1, 3)) AS completion_tokens, count(*) FILTER (WHERE kept AND type_id = 2) AS padding_tokens, count(*) FILTER (WHERE NOT kept) AS tokens_dropped_from_all_prompt
+  FROM packed p JOIN kinds k USING (split_idx, seq) GROUP BY 1),
+m AS (SELECT dataset_type, articles, input_tokens, output_tokens, sequences, prompt_tokens, completion_tokens, padding_tokens, 0::BIGINT AS tokens_dropped_from_packing, tokens_dropped_from_all_prompt
+  FROM n_lines JOIN n_input USING (dataset_type) JOIN n_output USING (dataset_type))"""
+
+
+def _metrics(spark, sf_dir):
+    lines, made, packed = _pair_sequences(spark, sf_dir)
+    return metrics.all_metrics(lines, made, written(packed), PackingConfig(), PAIR_LENGTH)
+
+
+@query("metrics_by_type", _METRICS + " SELECT * FROM m")
+def metrics_by_type(spark, sf_dir):
+    return _metrics(spark, sf_dir)
+
+
+@query("derived_metrics", _METRICS + """ SELECT dataset_type, round(100.0 * tokens_dropped_from_packing / input_tokens, 2)::DOUBLE AS dropped_from_packing_percent, round(100.0 * tokens_dropped_from_all_prompt / input_tokens, 2)::DOUBLE AS dropped_from_all_prompt_percent,
+round(prompt_tokens / articles, 2)::DOUBLE AS average_prompt_length, round(completion_tokens / articles, 2)::DOUBLE AS average_completion_length, round(100.0 * (output_tokens - padding_tokens) / input_tokens, 2)::DOUBLE AS data_utilization_percent,
+round(100.0 * (output_tokens - padding_tokens) / output_tokens, 2)::DOUBLE AS sequence_utilization_percent, round(100.0 * completion_tokens / output_tokens, 2)::DOUBLE AS completion_utilization_percent FROM m""")
+def derived_metrics(spark, sf_dir):
+    return metrics.derived_metrics(_metrics(spark, sf_dir)).drop(*metrics.COUNTERS)
+
+
+_REBALANCED = _PAIR_ALL + """,
+numbered AS (SELECT dataset_type, shard_no, seq, row_number() OVER (PARTITION BY dataset_type, shard_no ORDER BY seq) - 1 AS r FROM kinds WHERE kept),
+sizes AS (SELECT dataset_type, shard_no, count(n.r) AS n FROM (SELECT DISTINCT dataset_type, shard_no FROM labelled WHERE dataset_type <> 'test') LEFT JOIN numbered n USING (dataset_type, shard_no) GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset_type ORDER BY shard_no) - 1 AS k, count(*) OVER (PARTITION BY dataset_type) AS shards, sum(n) OVER (PARTITION BY dataset_type) AS total FROM sizes),
+targets AS (SELECT *, (total // shards + CASE WHEN k < total % shards THEN 1 ELSE 0 END)::BIGINT AS target FROM ranked),
+plan AS (SELECT *, coalesce(sum(greatest(n - target, 0)) OVER w, 0) AS give_from, coalesce(sum(greatest(target - n, 0)) OVER w, 0) AS need_from FROM targets
+  WINDOW w AS (PARTITION BY dataset_type ORDER BY shard_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+balanced AS (
+  SELECT s.dataset_type, s.shard_no AS old_shard, s.seq AS old_seq, s.shard_no, s.r AS seq FROM numbered s JOIN plan p USING (dataset_type, shard_no) WHERE s.r < p.target
+  UNION ALL SELECT s.dataset_type, s.shard_no, s.seq, q.shard_no, q.n + (p.give_from + s.r - p.target - q.need_from) FROM numbered s JOIN plan p USING (dataset_type, shard_no)
+  JOIN plan q ON q.dataset_type = s.dataset_type AND p.give_from + s.r - p.target >= q.need_from AND p.give_from + s.r - p.target < q.need_from + greatest(q.target - q.n, 0) WHERE s.r >= p.target)"""
+
+
+def _balanced(spark, sf_dir) -> DataFrame:
+    lines, _, packed = _pair_sequences(spark, sf_dir)
+    kept = written(packing.without_prompt_only(packed)).select("dataset_type", "shard_no", "seq", F.col("shard_no").alias("old_shard"), F.col("seq").alias("old_seq"), F.col("tokens.token_type").alias("token_type_ids"))
+    return balance.rebalance(kept, lines)
+
+
+@query("rebalance", _REBALANCED + " SELECT dataset_type, old_shard, old_seq::BIGINT AS old_seq, shard_no, seq::BIGINT AS seq FROM balanced")
+def rebalance(spark, sf_dir):
+    return _balanced(spark, sf_dir).drop("token_type_ids")
+
+
+@query("max_batch_size", _REBALANCED + " SELECT dataset_type, min(n)::BIGINT AS max_batch_size FROM (SELECT dataset_type, shard_no, count(*) AS n FROM balanced GROUP BY 1, 2) GROUP BY 1")
+def max_batch_size(spark, sf_dir):
+    return balance.max_batch_size(_balanced(spark, sf_dir))
+
+
+@query("metadata_recompute", _REBALANCED + f""", rows AS (SELECT b.dataset_type, b.shard_no, count(*) AS n FROM balanced b GROUP BY 1, 2),
+t AS (SELECT b.dataset_type, p.type_id FROM balanced b JOIN packed p ON p.dataset_type = b.dataset_type AND p.shard_no = b.old_shard AND p.seq = b.old_seq)
+SELECT r.dataset_type, sum(n)::BIGINT AS sequences, any_value(articles) AS articles, any_value(completion_tokens) AS completion_tokens, any_value(prompt_tokens) AS prompt_tokens, any_value(padding_tokens) AS padding_tokens, any_value(output_tokens) AS output_tokens,
+min(n)::BIGINT AS max_batch_size, count(*)::BIGINT AS files FROM rows r JOIN (SELECT dataset_type, count(*) FILTER (WHERE type_id = 3) AS articles, count(*) FILTER (WHERE type_id IN (1, 3)) AS completion_tokens, count(*) FILTER (WHERE type_id = 0) AS prompt_tokens,
+count(*) FILTER (WHERE type_id = 2) AS padding_tokens, count(*) AS output_tokens FROM t GROUP BY 1) USING (dataset_type) GROUP BY 1""")
+def metadata_recompute(spark, sf_dir):
+    return metrics.recomputed_metadata(_balanced(spark, sf_dir))
+
+
+@query("decode_segments", _PAIR_ALL + """,
+b AS (SELECT *, lag(type_id) OVER (PARTITION BY split_idx, seq ORDER BY pos) AS before FROM packed),
+v AS (SELECT * FROM b WHERE type_id <> 3 OR (before IS NOT NULL AND before <> 3)),
+s AS (SELECT *, sum(CASE WHEN type_id = 3 THEN 0 WHEN before IS NULL OR before <> type_id THEN 1 ELSE 0 END) OVER (PARTITION BY split_idx, seq ORDER BY pos) AS segment FROM v)
+SELECT split_idx::BIGINT AS split_idx, seq::BIGINT AS seq, segment::BIGINT AS segment, max(CASE WHEN type_id <> 3 THEN type_id END)::BIGINT AS kind, min(pos)::BIGINT AS first_pos, count(*)::BIGINT AS n_tokens, max(CASE WHEN type_id = 3 THEN 1 ELSE 0 END)::BIGINT AS separated,
+CASE WHEN max(CASE WHEN type_id <> 3 THEN type_id END) = 2 THEN '' ELSE string_agg(token_id::VARCHAR, ' ' ORDER BY pos) END AS text FROM s GROUP BY 1, 2, 3""")
+def decode_segments(spark, sf_dir):
+    rows = _flat(_pair_sequences(spark, sf_dir)[2], "split_idx", "seq").withColumn("word", F.col("token_id").cast("string"))
+    return decode.segments(rows, "split_idx", "seq")
+
+
+_TEMPLATE = chat.ChatTemplate("", "", "<|user|> ", " <|end|> ", "<|assistant|> ", " <|end|> ")
+
+
+@query("chat_template_render", f"WITH {_PAIRS} SELECT line_no AS conv_id, string_agg('<|user|> ' || prompt || ' <|end|> <|assistant|> ' || completion || ' <|end|> ', '' ORDER BY pair_no) AS chat FROM pairs GROUP BY 1")
+def chat_template_render(spark, sf_dir):
+    return chat.rendered_chats(_pairs(spark, sf_dir), _TEMPLATE).withColumnRenamed("line_no", "conv_id")
+
+
+@query("chat_template_tokens", f"WITH {_PAIRS}, templated AS (SELECT line_no, pair_no, n_pairs, '<|user|> ' || prompt || ' <|end|> <|assistant|> ' AS prompt, completion || ' <|end|> ' AS completion FROM pairs), {_pair_tokens('templated')}, {_LINE_TOKENS} SELECT line_no AS conv_id, pos::BIGINT AS pos, token_id, type_id::BIGINT AS type_id FROM line_tokens")
+def chat_template_tokens(spark, sf_dir):
+    made = chat.articles_from_chats(_pairs(spark, sf_dir), _TEMPLATE, TOKENIZER, PrepOptions())
+    return _flat(made.withColumnRenamed("line_no", "conv_id"), "conv_id")
+
+
+_META = "SELECT 'd' || r_regionkey AS dataset, 1024 AS max_seq_length, r_regionkey <> 2 AS token_type_ids, CAST(r_regionkey * 8 AS INT) AS number_of_training_files, 50257 AS vocab_size, 'm' AS tokenizer_model_type, CAST(r_regionkey % 2 AS INT) AS number_of_dev_files, CAST(r_regionkey * 4 AS INT) AS max_batch_size_train, CASE WHEN r_regionkey % 2 = 1 THEN 3 END AS max_batch_size_dev FROM region"
+_CONTEXTS = "SELECT 'c' || n_nationkey AS context, CASE WHEN n_nationkey % 5 = 0 THEN 512 ELSE 1024 END AS max_seq_length, n_nationkey % 2 = 0 AS use_token_type_ids, CAST(n_nationkey % 16 AS INT) AS number_of_workers, CASE WHEN n_nationkey % 7 = 0 THEN 32000 ELSE 50257 END AS vocab_size, CASE WHEN n_nationkey % 3 = 0 THEN 'n' ELSE 'm' END AS model_type, n_nationkey % 4 = 0 AS eval, CAST(n_nationkey AS INT) AS batch_size FROM nation"
+
+
+@query("metadata_violations", f"""WITH m AS ({_META}), r AS ({_CONTEXTS}), x AS (SELECT dataset, context, unnest([
+CASE WHEN m.max_seq_length <> r.max_seq_length THEN 'max_seq_length' END, CASE WHEN use_token_type_ids AND NOT token_type_ids THEN 'token_type_ids' END, CASE WHEN number_of_training_files < number_of_workers THEN 'number_of_training_files' END,
+CASE WHEN m.vocab_size > r.vocab_size THEN 'vocab_size' END, CASE WHEN tokenizer_model_type <> model_type THEN 'tokenizer_model_type' END, CASE WHEN r."eval" AND number_of_dev_files = 0 THEN 'number_of_dev_files' END,
+CASE WHEN batch_size > max_batch_size_train THEN 'max_batch_size_train' END, CASE WHEN r."eval" AND max_batch_size_dev IS NULL THEN 'max_batch_size_dev' END]) AS field FROM m, r) SELECT dataset, context, field FROM x WHERE field IS NOT NULL""")
+def metadata_violations(spark, sf_dir):
+    meta = _table(spark, sf_dir, "region").selectExpr(*_columns(_META))
+    contexts = _table(spark, sf_dir, "nation").selectExpr(*_columns(_CONTEXTS))
+    return validate.violations(meta, contexts).select("dataset", "context", "field")
+
+
+def _columns(select: str) -> list[str]:
+    """The expressions of a plain SELECT list without commas inside."""
+    return select.removeprefix("SELECT ").rpartition(" FROM ")[0].split(", ")
+
+
+@query("article_count", r"SELECT count(*) FILTER (WHERE regexp_matches(text, '\S'))::BIGINT AS articles FROM documents")
+def article_count(spark, sf_dir):
+    return metrics.article_count(_documents(spark, sf_dir))
+
+
+@query("vocabulary", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, {_WORDS})) AS word FROM documents) SELECT word, (row_number() OVER (ORDER BY encode(word)) + 3)::BIGINT AS token_id FROM w""")
+def vocabulary(spark, sf_dir):
+    return build_vocabulary(_table(spark, sf_dir, "documents"))
+
+
+@query("vocabulary_tokens", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, {_WORDS})) AS word FROM benchmark), v AS (SELECT word, row_number() OVER (ORDER BY encode(word)) + 3 AS token_id FROM w),
+d AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM (SELECT doc_id, regexp_extract_all(text, {_WORDS}) AS ws FROM documents))
+SELECT doc_id, pos::INT AS pos, coalesce(token_id, 3)::BIGINT AS token_id FROM d LEFT JOIN v USING (word)""")
+def vocabulary_tokens(spark, sf_dir):
+    known = build_vocabulary(_table(spark, sf_dir, "benchmark"))
+    return encode_with_vocabulary(_table(spark, sf_dir, "documents"), known, "doc_id")
+
+
+@query("row_index", "SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1)::BIGINT AS line_no FROM events")
+def row_index(spark, sf_dir):
+    return with_row_index(_table(spark, sf_dir, "events").select("event_id", "ts"), "ts", "event_id").select("event_id", "line_no")
+
+
+@query("file_manifest")
+def file_manifest(spark, sf_dir):
+    return outputs.manifest(spark, sf_dir)
+
+
+@query("utilization_audit", _METRICS + """ SELECT dataset_type, articles AS expected, articles AS processed, 0::BIGINT AS missing, 'complete' AS state FROM m""")
+def utilization_audit(spark, sf_dir):
+    lines, made, _ = _pair_sequences(spark, sf_dir)
+    done = made.groupBy("dataset_type").agg(F.countDistinct("line_no").alias("processed"))
+    counted = lines.groupBy("dataset_type").agg(F.count(F.lit(1)).alias("expected")).join(done, "dataset_type", "left")
+    missing = F.col("expected") - F.coalesce("processed", F.lit(0))
+    state = F.when(missing == 0, "complete").when(F.abs(missing / F.col("expected")) <= 0.001, "nearly complete").otherwise("incomplete")
+    return counted.select("dataset_type", "expected", F.coalesce("processed", F.lit(0)).alias("processed"), missing.alias("missing"), state.alias("state"))

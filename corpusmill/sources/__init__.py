@@ -1,0 +1 @@
+"""Reading and writing: lines, JSON, packed tables, metadata, manifests."""
