@@ -157,7 +157,7 @@ def _greedy_sql(overflow: str) -> str:
     return f"""WITH RECURSIVE {_DOC_TOKENS},
 sizes AS (SELECT split_idx, line_no, max(n) AS n FROM doc_tokens JOIN dealt USING (line_no) GROUP BY 1, 2),
 a AS (SELECT *, row_number() OVER (PARTITION BY split_idx ORDER BY line_no) - 1 AS aid FROM sizes),
-r(split_idx, aid, line_no, seq, at, kept, used) AS (
+r(split_idx, aid, line_no, seq, first_pos, kept, used) AS (
   SELECT DISTINCT split_idx, -1::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM a
   UNION ALL SELECT a.split_idx, a.aid, a.line_no,
     CASE WHEN r.used + a.n <= {DOC_LENGTH} THEN r.seq ELSE r.seq + CASE WHEN r.used > 0 THEN 1 ELSE 0 END END,
@@ -169,16 +169,16 @@ g AS (SELECT * FROM r WHERE kept > 0)"""
 
 
 def _greedy(overflow: str):
-    @query(f"pack_greedy_{overflow}", _greedy_sql(overflow) + " SELECT split_idx::BIGINT AS split_idx, line_no AS doc_id, seq, at, kept FROM g")
+    @query(f"pack_greedy_{overflow}", _greedy_sql(overflow) + " SELECT split_idx::BIGINT AS split_idx, line_no AS doc_id, seq, first_pos, kept FROM g")
     def assignment(spark, sf_dir):
         made = packing.greedy_assignment(written(_document_articles(spark, sf_dir)), DOC_LENGTH, overflow)
-        return made.select("split_idx", F.col("line_no").alias("doc_id"), "seq", "at", "kept")
+        return made.select("split_idx", F.col("line_no").alias("doc_id"), "seq", F.col("at").alias("first_pos"), "kept")
 
     keep = {"drop": "true", "truncate_left": "pos >= n - kept", "truncate_right": "pos < kept"}[overflow]
     shift = "(n - kept)" if overflow == "truncate_left" else "0"
 
     @query(f"pack_greedy_{overflow}_sequences", _greedy_sql(overflow) + f""",
-t AS (SELECT g.split_idx, seq, at + pos - {shift} AS pos, token_id, type_id FROM doc_tokens JOIN g USING (line_no) WHERE {keep})
+t AS (SELECT g.split_idx, seq, first_pos + pos - {shift} AS pos, token_id, type_id FROM doc_tokens JOIN g USING (line_no) WHERE {keep})
 SELECT split_idx::BIGINT AS split_idx, seq, count(*)::BIGINT AS n_tokens, ({DOC_LENGTH} - count(*))::BIGINT AS n_padding, sum((pos + 1) * token_id)::BIGINT AS place_sum, sum((pos + 1) * type_id)::BIGINT AS type_sum FROM t GROUP BY 1, 2""")
     def sequences(spark, sf_dir):
         packed = packing.pack_greedy(written(_document_articles(spark, sf_dir)), DOC_LENGTH, PAD, overflow)
