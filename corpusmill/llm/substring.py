@@ -29,9 +29,9 @@ from corpusmill.llm.common import joined, materialize, pick, slices, span_hash,
 
 WINDOW = 20
 #: Text bytes in a chunk; raise it with executor memory and corpus size.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 #: Windows that a block's task merges, on average.
-BLOCK_WINDOWS = 1 << 21
+BLOCK_WINDOWS = 1 << 20
 #: Cells for each window of the corpus, as a power of two: about 1/16 of the single windows pass the sketch.
 SPARE_BITS = 4
 
