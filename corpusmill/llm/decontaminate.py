@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import LOWER, _BYTE, mix, pick, powers, ranges, slices, spans, table, window_hash, window_starts
 
 WINDOW = 10
-#: Items with fewer template tokens are too short to tell from chance and match nothing.
+#: Items with fewer words are too short to tell from chance and match nothing.
 MIN_TOKENS = 5
 #: Share of an item's template tokens that consistent windows must cover.
 COVERAGE = 0.6
@@ -72,10 +72,10 @@ class Tokens:
     firsts: np.ndarray
 
 
-def canonical(data: np.ndarray, off: np.ndarray, names: bool = True) -> Tokens:
+def canonical(data: np.ndarray, off: np.ndarray, names: bool = True, slots: bool = True) -> Tokens:
     """Template tokens of each document. A word with a digit is a number; a run of numbers or of names is one slot.
 
-    More than MAX_NAME capitalised words in a row are a title or shouting, not a name.
+    A name has a capital and then a small letter; more than MAX_NAME of them in a row are a title. Without slots every word stands for itself.
     """
     s, e, firsts = spans(_WORD[data], off)
     if not len(s):
@@ -86,11 +86,14 @@ def canonical(data: np.ndarray, off: np.ndarray, names: bool = True) -> Tokens:
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
     kind = np.zeros(len(s), np.int8)
+    if not slots:
+        return Tokens(value, value, kind, firsts)
     opens = np.zeros(len(s), bool)  # first word of a document or sentence
     opens[firsts[:-1][firsts[:-1] < firsts[1:]]] = True
     opens[1:] |= stops[s[1:]] > stops[e[:-1]]
     if names:
-        capital = _UPPER[data[s]] & ~opens
+        second = np.minimum(s + 1, len(data) - 1)
+        capital = _UPPER[data[s]] & ~opens & (e - s > 1) & ~_UPPER[data[second]]  # SHOUTING holds no names
         run = np.flatnonzero(np.diff(np.concatenate([[False], capital, [False]]).astype(np.int8)))
         long = run[1::2] - run[::2] > MAX_NAME
         capital[ranges(run[::2][long], (run[1::2] - run[::2])[long])] = False
@@ -119,13 +122,21 @@ def canonical(data: np.ndarray, off: np.ndarray, names: bool = True) -> Tokens:
 
 
 class Index:
-    """Windows of one block of benchmark items, by hash. Items shorter than a window are one window."""
+    """Windows of one block of benchmark items, by hash. Items shorter than a window are one window.
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW) -> None:
+    Items of which too little is left as a template, like rows of numbers, are looked for word by word.
+    """
+
+    def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW, slots: bool = True) -> None:
         texts = [(t or "").encode() for _, t in items]
         off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
-        tok, plain = canonical(data, off), canonical(data, off, names=False)
+        self.slots = slots
+        tok, plain = canonical(data, off, slots=slots), canonical(data, off, names=False, slots=slots)
+        few = [i for i in np.flatnonzero(np.diff(tok.firsts) < MIN_TOKENS).tolist()] if slots else []
+        literal = canonical(data, off, slots=False) if few else tok
+        few = [i for i in few if literal.firsts[i + 1] - literal.firsts[i] >= MIN_TOKENS]
+        self.literal = Index([items[i] for i in few], width, slots=False) if few else None
         named = [i for i in range(len(items)) if (tok.kind[tok.firsts[i] : tok.firsts[i + 1]] == NAME).any()]
         # items with names are also there word by word, for copies in one case only
         which = ranges(plain.firsts[:-1][named], np.diff(plain.firsts)[named])
@@ -144,8 +155,14 @@ class Index:
             seen[h >> np.uint64(42)] = True
             self.by_width[w] = (h[order], starts[order], owner[order], seen)
 
+    def search(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, str, float]]:
+        """(document, item_id, coverage) with at least one consistent window."""
+        for d, item, share in self.matches(canonical(data, off, slots=self.slots)):
+            yield d, self.items[item], share
+        if self.literal is not None:
+            yield from self.literal.search(data, off)
+
     def matches(self, tok: Tokens) -> Iterator[tuple[int, int, float]]:
-        """(document, item, coverage) with at least one consistent window."""
         n_docs = len(tok.firsts) - 1
         pairs: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
         for w, (hashes, starts, owner, seen) in self.by_width.items():
@@ -190,7 +207,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     n_items counts the benchmark(item_id, text) items of which consistent windows cover at least
     `coverage`; item_id is the one covered best (the first in order of ties), coverage its share, or the
     best share below the limit with a null item_id. Null or empty texts and items, and
-    items with fewer than MIN_TOKENS tokens, match nothing. Repeated items count once each.
+    items with fewer than MIN_TOKENS words, match nothing. Repeated items count once each.
     Columns of docs named like the added ones are replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -215,15 +232,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
             for rows, data, off in slices(batches, limit=1 << 20):
                 columns = {c: rows.column(rows.schema.get_field_index(c)).to_pylist() for c in added}
                 best: dict[tuple[int, str], float] = {}
-                for d, item, share in index.matches(canonical(data, off)):
-                    key = d, index.items[item]
+                for d, item, share in index.search(data, off):
+                    key = d, item
                     best[key] = max(share, best.get(key, 0.0))
                 for (d, item), share in sorted(best.items()):
                     hit = share >= coverage
                     if hit:
                         columns["contaminated"][d] = True
                         columns["n_items"][d] += 1
-                    if (hit, share) > (columns["item_id"][d] is not None, columns["coverage"][d]):
+                    old = columns["item_id"][d]
+                    if (hit, share) > (old is not None, columns["coverage"][d]) or (hit and share == columns["coverage"][d] and item < old):
                         columns["coverage"][d] = share
                         columns["item_id"][d] = item if hit else None
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in added else rows.column(i) for i, f in enumerate(schema)], schema=schema)
