@@ -2,9 +2,9 @@
 
 A page's token stream is folded into a tree of elements. Streams of one host are aligned level by
 level: tokens that are missing in some become optional groups, tokens that recur become
-repeated groups, and texts become slots. A slot whose text stays the same on most different pages of the host
-is part of its template, and the element that holds most of the varying text is its main
-region; both decide what is extracted, beside what tags and classes say (menus, adverts, comments ...).
+repeated groups, and texts become slots. The wrapper says which element's slots hold most of the host's text: its main
+region. A slot whose text stays the same on most different pages is part of the
+template. Both decide what is extracted, beside what tags and classes say (menus, adverts, comments ...).
 
 Wrappers are folded in each task and merged by (host, salt) and then by host, so a
 host with a third of all pages is no single task's work.
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialize, pick, table
+from corpusmill.llm.common import materialize, pick, release, table
 from corpusmill.llm.urls import host_and_path
 
 #: A text is of the template if so many different pages of its host, and this share of them, have it in the same place.
@@ -63,29 +63,31 @@ class Element:
 
 
 class Block:
-    __slots__ = ("text", "path", "parent", "chrome", "main", "links")
+    __slots__ = ("text", "path", "chrome", "main", "links")
 
     def __init__(self, text: str, element: Element, block: Element, links: int) -> None:
         self.text, self.links = text, links
         self.chrome, self.main = block.chrome or element.chrome, block.main
-        self.path, self.parent = block.path, block.path.rpartition("/")[0]
+        self.path = block.path
 
 
 def parse(page: str | None) -> tuple[list[Block], dict]:
     """Text blocks in page order, and the page's tree of distinct elements (the wrapper of this page alone)."""
     root = Element("#page", "", None)
-    tree: dict = {"k": "#page", "c": [], "s": False}
+    tree: dict = {"k": "#page", "c": [], "s": False, "z": 0}
     stack: list[tuple[Element, dict]] = [(root, tree)]
     blocks: list[Block] = []
     pieces: list[str] = []
-    holder: list[tuple[Element, Element]] = []
+    holder: list[tuple[Element, Element, dict]] = []
     state = {"links": 0}
 
     def flush() -> None:
         text = " ".join(htmllib.unescape("".join(pieces)).split())
         if text and holder:
-            element, block = holder[0]
+            element, block, region = holder[0]
             blocks.append(Block(text, element, block, state["links"]))
+            if not (blocks[-1].chrome or blocks[-1].main):
+                region["z"] += len(text) - state["links"]
         pieces.clear()
         holder.clear()
         state["links"] = 0
@@ -98,8 +100,8 @@ def parse(page: str | None) -> tuple[list[Block], dict]:
             if holder and holder[0][0].chrome != element.chrome:
                 flush()  # an inline advert is not part of the paragraph around it
             if not holder:
-                block = next(x for x, _ in reversed(stack) if x.tag in _BLOCKS or x.tag == "#page")
-                holder.append((element, block))
+                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0].tag in _BLOCKS or not i)
+                holder.append((element, stack[i][0], stack[max(0, i - 1)][1]))
             stack[-1][1]["s"] = True
             if any(x.tag == "a" for x, _ in stack):
                 state["links"] += len(text.strip())
@@ -144,7 +146,7 @@ def parse(page: str | None) -> tuple[list[Block], dict]:
             continue
         same = next((c for c in node["c"] if c["k"] == element.key), None)
         if same is None:
-            same = {"k": element.key, "c": [], "s": False, "n": 0, "lo": 1, "hi": 1}
+            same = {"k": element.key, "c": [], "s": False, "z": 0, "n": 0, "lo": 1, "hi": 1}
             node["c"].append(same)
         same["n"] += 1
         same["hi"] = max(same["hi"], min(2, same["n"]))
@@ -155,7 +157,7 @@ def parse(page: str | None) -> tuple[list[Block], dict]:
 
 
 def merge(a: dict, b: dict) -> dict:
-    """The wrapper of two wrappers: children are aligned in order, what one lacks becomes optional."""
+    """The wrapper of two wrappers: children are aligned in order, what one lacks becomes optional, slots add up their text."""
     left, right = {c["k"]: c for c in a["c"]}, {c["k"]: c for c in b["c"]}
     ka, kb = [c["k"] for c in a["c"]], [c["k"] for c in b["c"]]
     order: list[str] = []
@@ -168,7 +170,7 @@ def merge(a: dict, b: dict) -> dict:
             out.append(merge(x, y) | {"lo": min(x["lo"], y["lo"]), "hi": max(x["hi"], y["hi"])})
         else:
             out.append((x or y) | {"lo": 0})
-    return {"k": a["k"], "c": out, "s": a["s"] or b["s"]}
+    return {"k": a["k"], "c": out, "s": a["s"] or b["s"], "z": a["z"] + b["z"]}
 
 
 def expression(node: dict) -> str:
@@ -181,29 +183,54 @@ def expression(node: dict) -> str:
     return f"({text}){sign}" if sign else text
 
 
+def main_region(node: dict, path: str = "") -> tuple[int, str]:
+    """(characters, path) of the wrapper's element whose own blocks hold most text outside links, menus and marked articles."""
+    path = f"{path}/{node['k']}" if path else node["k"]
+    return max([(node["z"], path), *(main_region(c, path) for c in node["c"])])
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) to one wrapper for each host of the task."""
-    wrappers: dict[str, dict] = {}
-    pages: dict[str, int] = {}
-    for batch in batches:
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-            tree = parse(page.as_py())[1]
-            wrappers[host] = merge(wrappers[host], tree) if host in wrappers else tree
-            pages[host] = pages.get(host, 0) + 1
-        if len(wrappers) > 20_000:  # a task with very many hosts passes them on as it goes
-            yield _wrapper_rows(wrappers, pages)
-            wrappers, pages = {}, {}
-    yield _wrapper_rows(wrappers, pages)
+_ROWS = "host string, slot bigint, page bigint, salt int, n_pages bigint, tree string"
+
+
+def observe(pages: DataFrame) -> DataFrame:
+    """What is counted over all of pages(url, html), written once: the slots of every page, and a wrapper for each host and task.
+
+    Slot rows (host, slot, page) name a page by a hash of its text; slot is null once for each page.
+    """
+    names = [c.split(" ")[0] for c in _ROWS.split(", ")]
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = TaskContext.get().partitionId() % SALTS
+        wrappers: dict[str, dict] = {}
+        seen: dict[str, int] = {}
 
-def _wrapper_rows(wrappers: dict[str, dict], pages: dict[str, int]) -> pa.RecordBatch:
-    salt = TaskContext.get().partitionId() % SALTS
-    hosts = sorted(wrappers)
-    return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([salt] * len(hosts), pa.int32()), pa.array([pages[h] for h in hosts], pa.int64()), pa.array([json.dumps(wrappers[h]) for h in hosts], pa.string())], names=["host", "salt", "n_pages", "tree"])
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        for batch in batches:
+            out: list[tuple] = []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found, tree = parse(page.as_py())
+                wrappers[host] = merge(wrappers[host], tree) if host in wrappers else tree
+                seen[host] = seen.get(host, 0) + 1
+                blocks = [b for b in found if not b.chrome]
+                own = _hash("\n".join(b.text for b in blocks))
+                out += [(host, h, own, None, None, None) for h in {_hash(f"{b.path}\n{b.text}") for b in blocks}]
+                out.append((host, None, own, None, None, None))
+            if len(wrappers) > 20_000:  # a task with very many hosts passes them on as it goes
+                out += [(h, None, None, salt, seen[h], json.dumps(wrappers[h])) for h in sorted(wrappers)]
+                wrappers, seen = {}, {}
+            yield batch_of(out)
+        yield batch_of([(h, None, None, salt, seen[h], json.dumps(wrappers[h])) for h in sorted(wrappers)])
+
+    source = pick(pages, "url", "html").select(host_and_path(F.col("url"))[0].alias("host"), "html")
+    return materialize(source.mapInArrow(scan, _ROWS))
 
 
 def _merge_rows(rows: pd.DataFrame) -> pd.DataFrame:
@@ -214,48 +241,31 @@ def _merge_rows(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "salt": [0], "n_pages": [rows["n_pages"].sum()], "tree": [json.dumps(tree)]})
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, n_pages, wrapper, tree) of every host in pages(url, html)."""
-    source = pick(pages, "url", "html")
-    rows = source.select(host_and_path(F.col("url"))[0].alias("host"), "html").mapInArrow(_fold, "host string, salt int, n_pages bigint, tree string")
+def wrappers_of(rows: DataFrame) -> DataFrame:
+    """(host, n_pages, wrapper, main) of the rows of observe(): the expression, and the path of the main region."""
     ddl = "host string, salt int, n_pages bigint, tree string"
-    merged = rows.groupBy("host", "salt").applyInPandas(_merge_rows, ddl).groupBy("host").applyInPandas(_merge_rows, ddl)
+    parts = rows.where("tree is not null").select("host", "salt", "n_pages", "tree")
+    merged = parts.groupBy("host", "salt").applyInPandas(_merge_rows, ddl).groupBy("host").applyInPandas(_merge_rows, ddl)
     render = F.pandas_udf(lambda s: s.map(lambda t: expression(json.loads(t))), "string")
-    return merged.select("host", "n_pages", render("tree").alias("wrapper"), "tree")
+    region = F.pandas_udf(lambda s: s.map(lambda t: next((p for n, p in [main_region(json.loads(t))] if n), None)), "string")
+    return merged.select("host", "n_pages", render("tree").alias("wrapper"), region("tree").alias("main"))
 
 
-def slot_statistics(pages: DataFrame) -> DataFrame:
-    """(host, template, main): hashes of the template's texts in their slots, and the path of the main region.
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """(host, n_pages, wrapper, main) of every host in pages(url, html)."""
+    return wrappers_of(observe(pages))
 
-    Counted over all pages. Copies of one page count once, so that an article is not taken for template.
-    """
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                blocks = [b for b in parse(page.as_py())[0] if not b.chrome]
-                own = _hash("\n".join(b.text for b in blocks))
-                sizes: dict[str, int] = {}
-                for b in blocks:
-                    if not b.main:
-                        sizes[b.parent] = sizes.get(b.parent, 0) + len(b.text) - b.links
-                out += [(host, None, own, p, n) for p, n in sizes.items()]
-                out += [(host, h, own, None, 0) for h in {_hash(f"{b.path}\n{b.text}") for b in blocks}]
-                out.append((host, None, own, None, 0))
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["host", "slot", "page", "path", "size"])
+def templates_of(rows: DataFrame) -> DataFrame:
+    """(host, template): hashes of the texts that are the same in their slot on most of the host's pages.
 
-    source = pick(pages, "url", "html").select(host_and_path(F.col("url"))[0].alias("host"), "html")
-    rows = materialize(source.mapInArrow(slots, "host string, slot bigint, page bigint, path string, size bigint"))
-    different = rows.where("path is null").select("host", "slot", "page").distinct()
+    Copies of one page count once, so that an article is not taken for template.
+    """
+    different = rows.where("tree is null").select("host", "slot", "page").distinct()
     counts = different.groupBy("host", "slot").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.where("slot is null").select("host", F.col("n").alias("total"))
     frequent = counts.where(F.col("slot").isNotNull() & (F.col("n") >= TEMPLATE_PAGES)).join(totals, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("total"))
-    template = frequent.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template"))  # at most a page's slots / TEMPLATE_SHARE
-    regions = rows.where("path is not null").groupBy("host", "path").agg(F.sum("size").alias("size"))
-    main = regions.groupBy("host").agg(F.max_by("path", F.struct("size", "path")).alias("main"))
-    return template.join(main, "host", "full").select("host", "template", "main")
+    return frequent.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template"))  # at most a page's slots / TEMPLATE_SHARE
 
 
 def main_text(page: str | None, template: frozenset[int] = frozenset(), main: str | None = None) -> str:
@@ -263,8 +273,8 @@ def main_text(page: str | None, template: frozenset[int] = frozenset(), main: st
     blocks = [b for b in parse(page)[0] if not b.chrome]
     if any(b.main for b in blocks):
         blocks = [b for b in blocks if b.main]
-    elif main is not None and any(b.path.startswith(main) for b in blocks):
-        blocks = [b for b in blocks if b.path.startswith(main)]
+    elif main is not None and any(b.path.startswith(f"{main}/") for b in blocks):
+        blocks = [b for b in blocks if b.path.startswith(f"{main}/")]
     else:
         blocks = [b for b in blocks if 2 * b.links <= len(b.text)]
     return "\n\n".join(b.text for b in blocks if not template or _hash(f"{b.path}\n{b.text}") not in template)
@@ -277,7 +287,9 @@ def extract(pages: DataFrame) -> DataFrame:
     a host form one group with an empty host. Cut-off pages are read up to their end. No rows give no rows.
     The hosts' statistics are joined by Spark, which broadcasts them only below its size threshold.
     """
-    stats = materialize(slot_statistics(pages))
+    rows = observe(pages)
+    stats = materialize(templates_of(rows).join(wrappers_of(rows).select("host", "main"), "host", "full"))
+    release(rows)
     source = pick(pages, "page_id", "url", "html").withColumn("host", host_and_path(F.col("url"))[0])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
