@@ -13,7 +13,7 @@ from corpusmill.config import BOUNDARIES, PackingConfig, PrepOptions
 from corpusmill.functions.tokenizers import JsonTokenizer, WordHashTokenizer
 from corpusmill.operators import balance, chat, metrics
 from corpusmill.plans import dataset
-from corpusmill.sources import outputs
+from corpusmill.sources import lines, outputs
 
 log = logging.getLogger("corpusmill")
 
@@ -85,11 +85,11 @@ def main(argv: list[str] | None = None) -> int:
             log.error("%s: %s", row["name"], row["problem"])
         return int(bool(bad))
     elif args.command == "convert_chat":
-        turns = spark.read.text(args.input_path).select(F.monotonically_increasing_id().alias("conv_id"), F.posexplode(F.from_json("value", "array<struct<role:string,content:string>>")).alias("turn", "t")).select("conv_id", "turn", "t.role", F.col("t.content").alias("text"))
+        turns = lines.read_lines(spark, args.input_path).select(F.col("line_no").alias("conv_id"), F.posexplode(F.from_json("value", "array<struct<role:string,content:string>>")).alias("turn", "t")).select("conv_id", "turn", "t.role", F.col("t.content").alias("text"))
         pairs = chat.turns_to_pairs(turns)
-        lines = turns.select("conv_id").distinct().join(pairs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pair_no", "prompt", "completion"))).alias("p")), "conv_id", "left")
+        chats = turns.select("conv_id").distinct().join(pairs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pair_no", "prompt", "completion"))).alias("p")), "conv_id", "left")
         items = F.transform(F.coalesce("p", F.array()), lambda x: F.struct(x.prompt.alias("prompt"), x.completion.alias("completion")))
-        lines.sort("conv_id").select(F.to_json(items).alias("value")).write.text(args.output_path)
+        chats.sort("conv_id").select(F.to_json(items).alias("value")).write.text(args.output_path)
     else:
         packed = outputs.read_packed(spark, args.input_path)
         if args.command == "describe":

@@ -59,6 +59,10 @@ def write_packed(matrix: DataFrame, path: str, length: int) -> None:
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """What write_packed() wrote; a dataset without sequences gives no rows."""
+    fs, jpath = _path(spark, path)
+    if not any(s.isDirectory() for s in fs.listStatus(jpath)):
+        return spark.createDataFrame([], "seq bigint, input_ids array<int>, token_type_ids array<int>, dataset_type string, shard_no int")
     return spark.read.parquet(path)
 
 
@@ -141,7 +145,10 @@ def write_manifest(spark: SparkSession, folder: str) -> None:
 
 
 def manifest_violations(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, problem): files that the manifest lacks or whose hash differs; hashes count only where size or time differ. Deleted files go unnoticed."""
+    """(name, problem): files that the manifest lacks or whose hash differs; hashes count only where size or time differ. Deleted files go unnoticed.
+
+    Where the file system keeps checksums of its own, as Hadoop does for local files, reading a file changed behind its back fails instead.
+    """
     known = spark.read.schema("name string, sha256 string, size bigint, modified_time bigint").json(f"{folder}/sha256").select("name", F.col("sha256").alias("old__"), F.col("size").alias("size__"), F.col("modified_time").alias("time__"))
     now = manifest(spark, folder).join(known, "name", "left")
     touched = (F.col("size") != F.col("size__")) | (F.col("modified_time") != F.col("time__"))
