@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, langid, packing, simhash, substring
+from corpusmill.llm import decontaminate, langid, packing, shingles, substring
 from corpusmill.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,12 +22,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group of near duplicates.
+    """One document, of the smallest doc_id, of each group linked by a similarity of 5-word shingles of at least 0.8.
 
     Documents without doc_id stay if one of them is in no group with a doc_id.
     """
-    groups = simhash.simhash_components(docs)
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"))
+    kept = shingles.similar_groups(docs).groupBy("root").agg(F.min("doc_id").alias("kept_id")).select("kept_id")
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi").select(*COLUMNS)
 
 
