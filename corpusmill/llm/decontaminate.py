@@ -181,24 +181,58 @@ class Index:
             yield d, item, self._coverage(tok, item, windows)
 
     def _coverage(self, tok: Tokens, item: int, windows: list[tuple[int, int, int]]) -> float:
-        """Share of the item's tokens in windows whose slots agree, on the best alignment of document and item."""
-        base = int(self.tokens.firsts[item])
-        best = 0.0
+        """Share of the item's tokens in windows whose slots agree, on the best alignment of document and item.
+
+        An alignment may shift where words were inserted or deleted, by at most the item's size at a time.
+        """
+        size = int(self.sizes[item])
         shifts: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for p, q, w in windows:
+        for p, q, w in sorted(windows):
             shifts[p - q].append((p, q, w))
+        best = max(self._extend(tok, (0, {}, 0, 0), group)[0] for group in shifts.values())
+        reach = -1
+        union = 0
+        for q, w in sorted({(q, w) for _, q, w in windows}):
+            union += max(0, q + w - max(q, reach))
+            reach = max(reach, q + w)
+        if len(shifts) > 1 and union > best:
+            best = max(best, self._chained(tok, size, shifts))
+        return best / size
+
+    def _extend(self, tok: Tokens, state: tuple[int, dict, int, int], group: list[tuple[int, int, int]]) -> tuple[int, dict, int, int]:
+        """(covered tokens, values of slots, end in the document, end in the item) with the windows of one shift that agree added."""
+        covered, bound, p_end, q_end = state
+        for p, q, w in group:
+            fresh = min(w, w - max(p_end - p, q_end - q)) if covered else w
+            if fresh <= 0:
+                continue
+            slots = [j for j in range(w) if self.tokens.kind[q + j]]
+            found = [((int(self.tokens.kind[q + j]), int(self.tokens.value[q + j])), int(tok.value[p + j])) for j in slots]
+            local = dict(bound)
+            if all(local.setdefault(k, v) == v for k, v in found):
+                covered, bound, p_end, q_end = covered + fresh, local, p + w, q + w
+        return covered, bound, p_end, q_end
+
+    def _chained(self, tok: Tokens, size: int, shifts: dict[int, list[tuple[int, int, int]]]) -> int:
+        """Most tokens covered by runs of windows that follow each other in document and item."""
+        runs: list[list[tuple[int, int, int]]] = []
         for group in shifts.values():
-            bound: dict[tuple[int, int], int] = {}
-            covered: set[int] = set()
-            for p, q, w in sorted(group):
-                slots = [j for j in range(w) if self.tokens.kind[q + j]]
-                found = [((int(self.tokens.kind[q + j]), int(self.tokens.value[q + j])), int(tok.value[p + j])) for j in slots]
-                local = dict(bound)
-                if all(local.setdefault(k, v) == v for k, v in found):
-                    bound = local
-                    covered.update(range(q - base, q - base + w))
-            best = max(best, len(covered) / int(self.sizes[item]))
-        return best
+            for k, window in enumerate(group):
+                if k and window[0] <= group[k - 1][0] + window[2]:
+                    runs[-1].append(window)
+                else:
+                    runs.append([window])
+        runs.sort()
+        states: list[tuple[int, dict, int, int]] = []
+        for k, run in enumerate(runs):
+            p, q, _ = run[0]
+            state = self._extend(tok, (0, {}, 0, 0), run)
+            for before, last in zip(states, runs):
+                near = abs((p - q) - (last[0][0] - last[0][1])) <= size
+                if near and before[2] < run[-1][0] + run[-1][2] and before[3] < run[-1][1] + run[-1][2]:
+                    state = max(state, self._extend(tok, before, run), key=lambda s: s[0])
+            states.append(state)
+        return max(s[0] for s in states)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -85,3 +85,25 @@ def test_items_of_numbers_are_found_word_by_word(spark):
     docs = [(1, f"{helpers.letters(rng, 20)} {digits} {helpers.letters(rng, 20)}"), (2, " ".join(str(rng.randrange(10)) for _ in range(500)) + " 7 7 7 7 7"), (3, digits[:15])]
     got = found(spark, docs, [("pi", digits), ("q", QUESTION)])
     assert {i for i, r in got.items() if r["contaminated"]} == {1}
+
+
+def test_inserted_and_deleted_words_do_not_split_an_item(spark):
+    rng = random.Random(4)
+    w = helpers.letters(rng, 40, 10**6).split(" ")
+    fill = lambda n: helpers.letters(rng, n, 10**6).split(" ")
+    inserted, deleted = [*w[:20], "word", *w[20:]], [*w[:20], *w[21:]]
+    twice = [*w[:13], "word", *w[13:27], "more", "words", *w[27:]]
+    apart, swapped = [*w[:20], *fill(300), *w[20:]], [*w[20:], *w[:20]]
+    docs = [(k, " ".join([*fill(30), *d, *fill(30)])) for k, d in enumerate([inserted, deleted, twice, apart, swapped])]
+    got = found(spark, docs, [("q", " ".join(w))])
+    assert {k: r["coverage"] for k, r in got.items()} == {0: 1.0, 1: 39 / 40, 2: 1.0, 3: 0.5, 4: 0.5}
+    assert {k for k, r in got.items() if r["contaminated"]} == {0, 1, 2}
+
+
+def test_slots_have_to_agree_across_an_inserted_word(spark):
+    item = "take 10 apples and put them in the large wooden box near the door then count all of the 10 apples in the box and go home before dark"
+    same = item.replace("10", "77").replace("door then", "door quickly then")
+    mixed = item.replace("10", "77", 1).replace("door then", "door quickly then")
+    got = found(spark, [(1, same), (2, mixed)], [("q", item)])
+    assert got[1]["coverage"] == 1.0
+    assert got[2]["coverage"] < 1.0
