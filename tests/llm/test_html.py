@@ -67,3 +67,69 @@ def test_query(spark, small):
         assert r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
         assert "<" not in r["text"] or "&lt;" in pages[r["page_id"]]["html"]
     assert sum(bool(r["text"]) for r in got) > 0.8 * len(got)
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<div class="layout no-sidebar"><article><p>a long text</p></article></div>', "a long text"), ('<div class="share-price"><p>The price is up</p></div>', "The price is up"),
+    ('<div id="login-news"><p>News</p></div>', "News"), ('<p title="a>hello</p>', "hello"), ("<p title=it's>hello</p>", "hello"), ('<p title=\'x > "y"\'>a</p>', "a"),
+    ("<p>a<svg viewBox=x/>b</p><p>c</p>", "ab\n\nc"), ("<form><div><p>abc</p></div></form>", "abc"), ('<p>one <span class="ad">buy</span> two</p>', "one two"),
+    ("<body><nav><a>m</a></nav><h1>T</h1><div><p>x y z</p><p>q</p></div><div>z</div><footer>f</footer></body>", "T\n\nx y z\n\nq"),
+    ("<article><header><h1>T</h1></header><p>x</p><footer>by me</footer></article>", "T\n\nx"), ("<script>a</script><p>b</p><script>c", "b"),
+])
+def test_regions_and_attributes(page, text):
+    assert hx.main_text(page) == text
+
+
+#: A host without telling tags or classes: menu, a notice that never changes, a short teaser that does, the article, and links.
+PLAIN = "<body><div><a>Home {0}</a><a>Other</a></div><div>We use files to remember who you are and what you read here, as told elsewhere at length</div><div>Teaser {0}</div><div><div>Title {0}</div>{1}</div><div><ul><li><a>x {0}</a></li><li><a>y</a></li></ul></div></body>"
+
+
+def host_pages(n: int) -> list[tuple[int, str, str]]:
+    return [(i, f"http://plain.example/{i}", PLAIN.format(i, "".join(f"<p>Paragraph {k} of story {i}</p>" for k in range(1 + i % 4)))) for i in range(n)]
+
+
+def test_the_wrapper_decides(spark):
+    rows = host_pages(24)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in hx.extract(pages).collect()}
+    for i, _, page in rows:
+        assert got[i] == "\n\n".join([f"Title {i}", *(f"Paragraph {k} of story {i}" for k in range(1 + i % 4))])
+    # a page alone says less: the long notice wins where the article is short
+    assert hx.main_text(rows[0][2]) != got[0]
+
+
+def one_by_one(rows: list[tuple[int, str, str]]) -> str:
+    """Brute force: the pages of a host aligned one after the other."""
+    tree = hx.parse(rows[0][2])[1]
+    for _, _, page in rows[1:]:
+        tree = hx.merge(tree, hx.parse(page)[1])
+    return hx.expression(tree)
+
+
+def test_wrappers_equal_brute_force_however_pages_are_dealt(spark):
+    rows = host_pages(24) + [(100 + i, "http://b.example/", f"<main><h1>{i}</h1>{'<p>q</p>' * (i % 3)}{'<dl><dt>a<dd>b<dt>c<dd>d</dl>' * (i % 2)}</main>") for i in range(12)]
+    wanted = {"plain.example": one_by_one(rows[:24]), "b.example": one_by_one(rows[24:])}
+    assert wanted["b.example"] == "<main><h1>#</h1>(<p>#</p>)*(<dl>(<dt>#</dt><dd>#</dd>)+</dl>)?</main>"
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for parts in (1, 7):
+        dealt = pages.repartition(parts, "page_id")
+        assert {r["host"]: r["wrapper"] for r in hx.infer_wrappers(dealt).collect()} == wanted
+
+
+def test_cold_hosts_and_repeated_rows(spark, monkeypatch):
+    rows = host_pages(12) + host_pages(3) + [(50, "http://tiny.example/", "<p>alone</p>"), (51, "http://tiny.example/", "<p>alone</p>"), (52, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    wanted = sorted(map(tuple, hx.extract(pages).collect()), key=str)
+    assert len(wanted) == len(rows)
+    monkeypatch.setattr(hx, "HOT_SHARE", 0.5)
+    assert sorted(map(tuple, hx.extract(pages).collect()), key=str) == wanted
+
+
+def test_class_names_without_end():
+    trees = [hx.parse(f"<div>{''.join(f'<div class=c{i}-{k}><p>t</p></div>' for k in range(40))}<div class=body><p>x</p></div></div>")[1] for i in range(30)]
+    tree = trees[0]
+    for t in trees[1:]:
+        tree = hx.merge(tree, t)
+    assert len(hx.expression(tree)) < 5000
+    deep = hx.parse("<div><dl><dt>" * 500 + "x")
+    assert hx.main_text("<div><dl><dt>" * 500 + "x") == "x" and len(deep[0]) == 1
