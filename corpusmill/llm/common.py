@@ -6,6 +6,8 @@ offsets, and words, hashes and windows are computed for the whole batch with num
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,6 +31,43 @@ _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, size=(2, 256), dtype=np.uint64)
 _BASE = [0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1]
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
+#: Bytes or words that are hashed at a time.
+STEP = 1 << 16
+
+
+def _libc():
+    """The C library's allocator set to give large blocks back when they are freed; None where there is no such library."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: fixed, rather than grown by each large block that is freed
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-8, 2)  # M_ARENA_MAX
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+_LIBC = _libc()
+
+
+def give_back() -> None:
+    """Return unused memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def lean(scan):
+    """A map over Arrow batches whose worker gives unused memory back when a task ends; workers are reused and share an executor's memory."""
+
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -43,10 +82,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where none is set."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set and all runs on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusmill-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -83,7 +124,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Consecutive rows with up to about limit bytes of text: (rows, bytes, offsets)."""
     for batch in batches:
         if not batch.num_rows:
@@ -119,19 +160,17 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base**i (or its inverse) modulo 2**64 for i < n."""
+    """base**i (or its inverse) modulo 2**64 for i < n, which is STEP + 1 at most."""
     have = _POWERS.get((which, inverse))
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+    if have is None:
         base = pow(_BASE[which], -1, 1 << 64) if inverse else _BASE[which]
-        out = np.empty(size, np.uint64)
-        out[0] = 1
+        have = np.empty(2 * STEP, np.uint64)
+        have[0] = 1
         filled = 1
-        while filled < size:
-            step = np.uint64(pow(base, filled, 1 << 64))
-            out[filled : 2 * filled] = out[:filled] * step
+        while filled < len(have):
+            have[filled : 2 * filled] = have[:filled] * np.uint64(pow(base, filled, 1 << 64))
             filled *= 2
-        have = _POWERS[which, inverse] = out
+        _POWERS[which, inverse] = have
     return have[:n]
 
 
@@ -145,23 +184,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _steps(s: np.ndarray, e: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of spans in order, from and to, that lie within STEP bytes; a longer span is a run by itself."""
+    i = 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + STEP, side="right")))
+        yield i, j
+        i = j
+
+
+def _long_hash(data: np.ndarray, which: int) -> np.uint64:
+    total = 0
+    for at in range(0, len(data), STEP):
+        part = _BYTE[which][data[at : at + STEP]] * powers(which, min(STEP, len(data) - at))
+        total += int(part.sum(dtype=np.uint64)) * pow(_BASE[which], at, 1 << 64)
+    return np.uint64(total & (1 << 64) - 1)
+
+
 def span_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of the bytes in each span."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[which][data] * powers(which, len(data)), out=total[1:])
-    h = (total[e] - total[s]) * powers(which, len(data) + 1, inverse=True)[s]
-    return mix(h + (e - s).astype(np.uint64))
+    """64-bit hash of the bytes in each span; spans are in order and don't overlap. Memory beside the result is bounded."""
+    out = np.empty(len(s), np.uint64)
+    for i, j in _steps(s, e):
+        base, n = int(s[i]), int(e[j - 1] - s[i])
+        if n > STEP:
+            out[i] = _long_hash(data[base : base + n], which)
+            continue
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[which][data[base : base + n]] * powers(which, n), out=total[1:])
+        a, b = s[i:j] - base, e[i:j] - base
+        out[i:j] = (total[b] - total[a]) * powers(which, n + 1, inverse=True)[a]
+    return mix(out + (e - s).astype(np.uint64))
 
 
 def window_hash(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     """Hash of each width consecutive word hashes; len(words) - width + 1 of them."""
-    n = len(words)
-    if n < width:
+    n = len(words) - width + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * powers(which, n), out=total[1:])
-    h = (total[width:] - total[: n - width + 1]) * powers(which, n, inverse=True)[: n - width + 1]
-    return mix(h)
+    out = np.empty(n, np.uint64)
+    if width > STEP:
+        raise ValueError(f"windows have at most {STEP} words")
+    for at in range(0, n, STEP - width + 1):
+        part = words[at : at + STEP]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * powers(which, len(part)), out=total[1:])
+        m = len(part) - width + 1
+        out[at : at + m] = (total[width:] - total[:m]) * powers(which, m, inverse=True)
+    return mix(out)
 
 
 def window_starts(firsts: np.ndarray, width: int) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import LOWER, _BYTE, mix, pick, powers, ranges, slices, spans, table, window_hash, window_starts
+from corpusmill.llm.common import LOWER, lean, mix, pick, ranges, slices, span_hash, spans, table, window_hash, window_starts
 
 WINDOW = 10
 #: Items with fewer words are too short to tell from chance and match nothing.
@@ -48,16 +48,10 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;\n\"|"]] = True
 
 
-def _span_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[0][data] * powers(0, len(data)), out=total[1:])
-    return mix((total[e] - total[s]) * powers(0, len(data) + 1, inverse=True)[s] + (e - s).astype(np.uint64))
-
-
 def _unit_hashes() -> np.ndarray:
     data = np.frombuffer("".join(UNITS).encode(), np.uint8)
     e = np.cumsum([len(u) for u in UNITS])
-    return np.sort(_span_hash(data, e - np.array([len(u) for u in UNITS]), e))
+    return np.sort(span_hash(data, e - np.array([len(u) for u in UNITS]), e))
 
 
 _UNIT_HASHES = _unit_hashes()
@@ -82,7 +76,7 @@ def canonical(data: np.ndarray, off: np.ndarray, names: bool = True, slots: bool
         none = np.zeros(0, np.uint64)
         return Tokens(none, none, np.zeros(0, np.int8), firsts)
     low = LOWER[data]
-    value = _span_hash(low, s, e)
+    value = span_hash(low, s, e)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
     kind = np.zeros(len(s), np.int8)
@@ -280,7 +274,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
                         columns["item_id"][d] = item if hit else None
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in added else rows.column(i) for i, f in enumerate(schema)], schema=schema)
 
-        out = out.mapInArrow(scan, out_type)
+        out = out.mapInArrow(lean(scan), out_type)
     return out
 
 

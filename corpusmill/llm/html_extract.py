@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialize, pick, release, table
+from corpusmill.llm.common import lean, materialize, pick, release, table
 from corpusmill.llm.urls import host_and_path
 
 #: A text is of the template if so many different pages of its host, and this share of them, have it in the same place.
@@ -508,7 +508,7 @@ def observe(pages: DataFrame) -> DataFrame:
         yield _batch(streams(), _TYPES, _ROWS)
 
     source = pick(pages, "url", "html").select(host_and_path(F.col("url"))[0].alias("host"), "html")
-    return materialize(source.mapInArrow(scan, _ROWS))
+    return materialize(source.mapInArrow(lean(scan), _ROWS))
 
 
 _PARTIAL = "host string, salt bigint, n_pages bigint, tree string"
@@ -661,7 +661,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([get["page_id"], get["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     if sum(v[3] for v in hot.values()) == total:
-        return source.mapInArrow(scan, ddl)
+        return source.mapInArrow(lean(scan), ddl)
     known = F.col("host").isin(list(hot)) if hot else F.lit(False)
     cold = source.where(~known).join(stats.where(~is_hot).select("host", "tree", "template", "everywhere"), "host")
     return source.where(known).mapInArrow(scan, ddl).unionByName(cold.mapInArrow(scan, ddl))

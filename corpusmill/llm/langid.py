@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import LOWER, SEPARATOR, pick, slices, table
+from corpusmill.llm.common import LOWER, SEPARATOR, lean, pick, slices, table
 
 UNKNOWN = "und"
 #: Bound of the training sample: documents for each language, and languages.
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1) -> Mod
             yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], names=["h", "lang", "ids", "shares"])
 
     bound = per_language * len(languages) * 2 + 100
-    got = sample.select("text", "h", "lang").mapInArrow(features, "h bigint, lang string, ids binary, shares binary").limit(bound).toArrow()
+    got = sample.select("text", "h", "lang").mapInArrow(lean(features), "h bigint, lang string, ids binary, shares binary").limit(bound).toArrow()
     names = np.array([languages.index(v) for v in got.column("lang").to_pylist()], np.int64)
     order = np.lexsort((names, np.array(got.column("h"))))
     x = np.zeros((len(order), BUCKETS), np.float32)
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             rejected = ~letter | (score < (m.threshold if m else 0))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], schema=schema)
 
-    return source.mapInArrow(scan, out_type)
+    return source.mapInArrow(lean(scan), out_type)
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:

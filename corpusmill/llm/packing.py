@@ -21,12 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialize, pick, table
+from corpusmill.llm.common import lean, materialize, pick, table
 
 SEQUENCE = 2048
 END = 1
 #: Words whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 150_000
+#: Characters of a text that are split into words at a time.
+SEGMENT = 1 << 16
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -80,16 +82,24 @@ class Encoder:
             return None
         return {bytes(byte[c] for c in k): v for k, v in vocab.items()}
 
+    def _by_words(self, text: str) -> Iterator[bytes]:
+        at = text.find(" ")
+        first = text if at < 0 else text[:at]
+        if first and first[-1].isspace():
+            raise _Odd
+        ids = self.fast(first)
+        yield struct_pack(f"<{len(ids)}I", *ids)
+        while at >= 0:  # text[at] is a space
+            end = text.find(" ", at + SEGMENT)
+            yield b"".join(map(self.words, text[at + 1 : end if end >= 0 else None].split(" ")))
+            at = end
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if self.fast is not None and not any(s in text for s in self.special):
-            first, *rest = text.split(" ")
             try:
-                if first and first[-1].isspace():
-                    raise _Odd
-                ids = self.fast(first)
-                return struct_pack(f"<{len(ids)}I", *ids) + b"".join(map(self.words, rest))
+                return b"".join(self._by_words(text))
             except _Odd:
                 ids = self.fast(text)
         else:
@@ -114,19 +124,23 @@ def shortest_pack_first(histogram: dict[int, int], length: int = SEQUENCE) -> li
     packs: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
-        # the packs that this size may still join, shortest first; those it makes are longer than any it takes
-        open_sizes = sorted(t for t in packs if packs[t] and t + size <= length)
-        made: list[tuple[int, int, tuple[int, ...]]] = []
-        for t in open_sizes:
-            while left and packs[t]:
-                count, pattern = packs[t].pop()
-                used = min(count, left)
-                if used < count:
-                    packs[t].append((count - used, pattern))
-                made.append((t + size, used, (*pattern, size)))
-                left -= used
-        for t, count, pattern in made:
-            packs[t].append((count, pattern))
+        # the shortest pack takes as many of this size as it has room for, then the next one
+        for t in sorted(t for t in packs if packs[t] and t + size <= length):
+            each = (length - t) // size
+            for _ in range(len(packs[t])):
+                if not left:
+                    break
+                count, pattern = packs[t].pop(0)
+                full = min(count, left // each)
+                if full:
+                    packs[t + each * size].append((full, (*pattern, *[size] * each)))
+                    left -= full * each
+                rest = left if full < count else 0
+                if rest:
+                    packs[t + rest * size].append((1, (*pattern, *[size] * rest)))
+                    left = 0
+                if count > full + bool(rest):
+                    packs[t].append((count - full - bool(rest), pattern))
         # what is left starts new packs, several of a size together
         each = length // size
         if left:
@@ -163,8 +177,8 @@ def tokenize_pieces(docs: DataFrame, definition: str, length: int = SEQUENCE, en
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = encoder(shared.value), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                rows = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 500):
+                rows = batch.slice(at, 500)
                 out: list[list] = [[] for _ in schema]
                 for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1)):
                     ids = encode(text.as_py()) + tail
@@ -179,7 +193,7 @@ def tokenize_pieces(docs: DataFrame, definition: str, length: int = SEQUENCE, en
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     ddl = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part bigint, local_rank bigint"
-    return pick(docs, "doc_id", "text").mapInArrow(scan, ddl + ", ids binary" * with_ids)
+    return pick(docs, "doc_id", "text").mapInArrow(lean(scan), ddl + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end: int = END, with_ids: bool = False) -> DataFrame:

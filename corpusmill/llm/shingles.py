@@ -1,9 +1,14 @@
-"""Near duplicates by exact similarity of word shingles.
+"""SimHash near-dedup with an exact limit on the similarity of word shingles.
 
 Two documents are near duplicates if the Jaccard similarity of their sets of 5-word shingles is at
-least 0.8. Nothing is lost on the way there: similar sets share a shingle among the first fifth
-of each in any common order (prefix filter; frequent shingles come last), and the parity bits of two
-sets differ in no more places than the sets do (odd sketch). What is left is compared set by set.
+least 0.8. The 64-bit fingerprints of such sets differ in 10 bits on average, so a small radius would lose
+many and a large one finds others too. Here a wide radius only selects: documents meet in blocks of those that share a key of
+three least shingles out of several, a block's fingerprints are compared bit-sliced, parities of the
+sets (odd sketches, which differ in no more places than the sets do) discard most of what is left, and the
+rest is compared shingle by shingle.
+
+A pair of similarity 0.8 misses all keys with a probability of (1 - 0.8**3)**20, less than one in a million, and lies
+outside the radius less often still; more similar pairs are lost by far less.
 """
 
 from __future__ import annotations
@@ -17,24 +22,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialize, pick, slices
+from corpusmill.llm.common import lean, materialize, mix, pick, release, slices
 from corpusmill.llm.components import connected_components
-from corpusmill.llm.simhash import SEED, shingle_hashes
+from corpusmill.llm.simhash import SEED, hits, majority, shingle_hashes
 
 WIDTH = 5
 #: Least similarity, as a fraction.
 PART, WHOLE = 4, 5
-#: Shingles in at least FREQUENT of about SAMPLE documents come last in the order; any choice gives the same result.
-SAMPLE, FREQUENT = 8000, 3
-#: A larger group of one shingle is cut in blocks that are joined in pairs.
+#: Keys of a document, and least shingles in each.
+BANDS, ROWS = 20, 3
+#: Fingerprints that differ in more bits are not compared further; sets under SMALL shingles are, as theirs vary more.
+RADIUS, SMALL = 24, 16
+#: A larger block is cut in parts that are joined in pairs.
 BLOCK = 1024
-#: Groups up to this size are compared in full at once, together until so many sets are reached.
+#: Small blocks are compared together until so many sets are reached.
 RUN = 256
 
-
-def prefix_length(n: int) -> int:
-    """A set of n shares at least one of any so many of its shingles with each similar set."""
-    return n - -(-PART * n // WHOLE) + 1 if n else 0
+_FACTORS = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -43,48 +47,53 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount(shingles & np.uint64(m - 1), minlength=m) & 1, bitorder="little").tobytes()
 
 
-def sets_of(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, node, n, prefix, sketch, shingles) of docs(doc_id, text); node stands for the set. All but doc_id and node are null where the task has had the set."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary()), ("shingles", pa.binary())])
+def keys_of(shingles: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """(documents, BANDS): each key hashes the least of the shingles in ROWS orders. No document is empty."""
+    out = np.empty((len(edges) - 1, BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(edges) - 1, b + 1, np.uint64)
+        for f in _FACTORS[b * ROWS : (b + 1) * ROWS]:
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(shingles * f, edges[:-1]))
+        out[:, b] = key
+    return out
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = shared.value, set()
-        for rows, data, off in slices(batches):
-            hashes, edges = shingle_hashes(data, off, WIDTH)
-            out: list[list] = [[] for _ in schema][1:]
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                own = np.unique(hashes[a:b])
-                raw = own.tobytes()
-                node = int(np.uint64(xxhash.xxh64_intdigest(raw, SEED)).view(np.int64))
-                values = [node, None, None, None, None]
-                if node not in seen and len(own):
-                    seen.add(node)
-                    often = np.zeros(len(own), bool)
-                    if len(last):
-                        often = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
-                    order = np.concatenate([own[~often], own[often]])
-                    values = [node, len(own), order[: prefix_length(len(own))].view(np.int64), sketch(own), raw]
-                for column, v in zip(out, values):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[1:]))], schema=schema)
 
-    return pick(docs, "doc_id", "text").mapInArrow(scan, "doc_id bigint, node bigint, n bigint, prefix array<bigint>, sketch binary, shingles binary")
+def own_shingles(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """The sorted set of shingles of each document."""
+    hashes, edges = shingle_hashes(data, off, WIDTH)
+    return [np.unique(hashes[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
 
+def node_of(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+
+
+def sets_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, node, n, fp, keys, sketch) of docs(doc_id, text); mark is a hash of the text, node stands for the set. From n on all are null where the task has had the set, or it is empty."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted shingles that several documents of a sample by hash hold."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, off in slices(batches):
-            hashes, edges = shingle_hashes(data, off, WIDTH)
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes[a:b]).view(np.int64))], names=["s"])
+        seen: set[int] = set()
+        for rows, data, off in slices(batches):
+            sets = own_shingles(data, off)
+            nodes = [node_of(s) for s in sets]
+            fresh = []
+            for i, node in enumerate(nodes):
+                if len(sets[i]) and node not in seen:
+                    seen.add(node)
+                    fresh.append(i)
+            more: list[list] = [[None] * len(sets) for _ in range(4)]
+            if fresh:
+                edges = np.concatenate([[0], np.cumsum([len(sets[i]) for i in fresh])]).astype(np.int64)
+                together = np.concatenate([sets[i] for i in fresh])
+                fps, keys = majority(together, edges).view(np.int64).tolist(), keys_of(together, edges).view(np.int64)
+                for k, i in enumerate(fresh):
+                    for column, v in zip(more, (len(sets[i]), fps[k], keys[k], sketch(sets[i]))):
+                        column[i] = v
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(2), *(pa.array(c, f.type) for c, f in zip([nodes, *more], list(schema)[2:]))], schema=schema)
 
-    texts = pick(docs, "text")
-    share = max(1, texts.count() // SAMPLE)
-    counts = texts.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(share)) == 0).mapInArrow(scan, "s bigint").groupBy("s").count()
-    rows = counts.where(F.col("count") >= FREQUENT).select("s").toArrow()
-    return np.sort(rows.column(0).to_numpy().view(np.uint64))
+    source = pick(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return source.mapInArrow(lean(scan), "doc_id bigint, mark bigint, node bigint, n bigint, fp bigint, keys array<bigint>, sketch binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Table]]:
@@ -105,60 +114,55 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Ta
         rest = rows.slice(cuts[-1])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (s, node) sorted by both to (s, size, node) of the shingles with more than one node."""
-    rest = np.zeros((2, 0), np.int64)
-    for batch in itertools.chain(batches, [None]):
-        rows = rest if batch is None else np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
-        fresh = np.ones(rows.shape[1], bool)
-        fresh[1:] = (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)
-        rows = rows[:, fresh]
-        if not rows.shape[1]:
-            continue
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1])
-        end = rows.shape[1] if batch is None else starts[-1]
-        rest = rows[:, end:]
-        starts = starts[starts < end]
-        size = np.diff(np.append(starts, end))
-        each = np.repeat(size, size)
-        many = each > 1
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0, :end][many]), pa.array(each[many]), pa.array(rows[1, :end][many])], names=["s", "size", "node"])
-
-
-def close_pairs(n: np.ndarray, sketches: list[bytes], label: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that sizes and sketches allow to be similar, with different labels; across sides where there are two."""
-    lengths = np.array([len(s) for s in sketches])
+def _parities(i: np.ndarray, j: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """In how many places the sketches of each pair differ at least; a longer one is folded to the shorter's length."""
+    out = np.zeros(len(i), np.int64)
+    sizes = np.array([len(s) for s in sketches])
+    shape = sizes[i] * (1 << 32) + sizes[j]
+    for key in np.unique(shape).tolist():
+        a, b = key >> 32, key & (1 << 32) - 1
+        which = np.flatnonzero(shape == key)
+        step = max(1, (1 << 22) // max(a, b))
+        for at in range(0, len(which), step):
+            part = which[at : at + step]
+            x, y = (np.frombuffer(b"".join(sketches[k] for k in side[part].tolist()), np.uint64).reshape(len(part), -1) for side in (i, j))
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            out[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def close_pairs(n: np.ndarray, sketches: list[bytes], label: np.ndarray, side: np.ndarray, fps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that fingerprints, sizes and sketches allow to be similar, with different labels; across sides where there are two."""
     first, second = [], []
-    for size in np.unique(lengths).tolist():
-        own, longer = np.flatnonzero(lengths == size), np.flatnonzero(lengths == 2 * size)
-        x = np.frombuffer(b"".join(sketches[i] for i in own), np.uint64).reshape(len(own), -1)
-        y = np.frombuffer(b"".join(sketches[i] for i in longer), np.uint64).reshape(len(longer), 2, x.shape[1])
-        y = np.concatenate([x, y[:, 0] ^ y[:, 1]])
-        at = np.concatenate([own, longer])
-        step = max(1, (1 << 21) // y.size)
-        for k in range(0, len(own), step):
-            a = own[k : k + step]
-            total = n[a][:, None] + n[at]
-            near = np.bitwise_count(x[k : k + step, None] ^ y[None]).sum(axis=2, dtype=np.int64) * (PART + WHOLE) <= total * (WHOLE - PART)
-            near &= WHOLE * np.minimum(n[a][:, None], n[at]) >= PART * np.maximum(n[a][:, None], n[at])
-            near &= label[a][:, None] != label[at]
-            if side.any():
-                near &= side[a][:, None] != side[at]
-            near[:, : len(own)] &= np.arange(len(own)) > np.arange(k, k + len(a))[:, None]
-            i, j = np.nonzero(near)
-            first.append(a[i])
-            second.append(at[j])
+    small = n < SMALL
+    for at in range(0, len(n), 128):
+        a = np.arange(at, min(at + 128, len(n)))
+        near = np.arange(len(n)) > a[:, None]
+        if fps is not None:
+            near &= hits(fps, fps[a], RADIUS) | (small | small[a][:, None])
+        near &= WHOLE * np.minimum(n[a][:, None], n) >= PART * np.maximum(n[a][:, None], n)
+        near &= label[a][:, None] != label
+        if side.any():
+            near &= side[a][:, None] != side
+        i, j = np.nonzero(near)
+        i = a[i]
+        ok = _parities(i, j, sketches) * (PART + WHOLE) <= (n[i] + n[j]) * (WHOLE - PART)
+        first.append(i[ok])
+        second.append(j[ok])
     return np.concatenate(first), np.concatenate(second)
 
 
 def _candidates(every: bool):
-    """Rows (s, k2, side, node, n, label, sketch) to pairs (a, b): all close pairs, or each node's with the neighbour of most neighbours."""
+    """Rows (s, k2, side, node, n, fp, label, sketch) to pairs (a, b): all close pairs, or each node's with the neighbour of most neighbours."""
 
     def compare(rows: pa.Table, sided: bool) -> pa.RecordBatch:
         node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
-        n, label, side = (rows.column(c).to_numpy()[at] for c in ("n", "label", "side"))
+        n, fp, label, side = (rows.column(c).to_numpy()[at] for c in ("n", "fp", "label", "side"))
         sketches = rows.column("sketch").take(pa.array(at)).to_pylist()
-        a, b = close_pairs(n, sketches, label, side if sided else np.zeros(len(at), np.int64))
+        a, b = close_pairs(n, sketches, label, side if sided else np.zeros(len(at), np.int64), fp.view(np.uint64))
         if not every and len(a):
             degree = np.bincount(np.concatenate([a, b]), minlength=len(at))
             rank = np.empty(len(at), np.int64)
@@ -181,6 +185,8 @@ def _candidates(every: bool):
                     if not side.all():
                         yield compare(g, True)
                     continue
+                if g.num_rows < 2:
+                    continue
                 run.append(g)
                 if sum(r.num_rows for r in run) >= RUN:
                     yield compare(pa.concat_tables(run).combine_chunks(), False)
@@ -188,7 +194,7 @@ def _candidates(every: bool):
         if run:
             yield compare(pa.concat_tables(run).combine_chunks(), False)
 
-    return scan
+    return lean(scan)
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,34 +208,64 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
 
+def _rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to (node, shingles)."""
+    for _, data, off in slices(batches):
+        sets = own_shingles(data, off)
+        yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, root) for every row of docs(doc_id, text): one root for each component of similar documents.
+    """(doc_id, mark, root) for every row of docs(doc_id, text): one root for each component of similar documents; mark is xxhash64(text).
 
     Texts without words are one group. Texts of fewer words than a shingle are one shingle. No rows give no rows.
     """
     docs = pick(docs, "doc_id", "text")
-    sets = materialize(sets_of(docs, frequent_shingles(docs)))
+    sets = materialize(sets_of(docs))
     whole = sets.where("n is not null")
-    entries = whole.select(F.explode("prefix").alias("s"), "node")
-    shared = materialize(entries.repartition("s").sortWithinPartitions("s", "node").mapInArrow(_shared, "s bigint, size bigint, node bigint"))
-    sketches = materialize(whole.select("node", "n", "sketch").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    blocks = F.when(F.col("size") > BLOCK, (F.col("size") / (BLOCK // 2)).cast("bigint") + 1).otherwise(F.lit(1).cast("bigint"))
-    cut = shared.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("m"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
-    cut = cut.select("s", "size", (F.least("own", "other") * F.col("m") + F.greatest("own", "other")).alias("k2"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("bigint").alias("side"), "node")
-
-    def links(groups: DataFrame, labels: DataFrame, every: bool) -> DataFrame:
-        rows = groups.join(labels, "node").select("s", "k2", "side", "node", "n", "label", "sketch").repartition("s", "k2").sortWithinPartitions("s", "k2", "side")
-        pairs = materialize(rows.mapInArrow(_candidates(every), "a bigint, b bigint").distinct())
+    entries = whole.select(F.explode("keys").alias("s"), "node", "n", "fp", "sketch")
+    sizes = entries.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("s", "size")
+    shared = materialize(entries.join(sizes, "s"))
+    parts = F.when(F.col("size") > BLOCK, (F.col("size") / (BLOCK // 2)).cast("bigint") + 1).otherwise(F.lit(1).cast("bigint"))
+
+    def links(rows: DataFrame, every: bool) -> DataFrame:
+        cut = rows.withColumn("m", parts).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("m"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
+        cut = cut.select("s", (F.least("own", "other") * F.col("m") + F.greatest("own", "other")).alias("k2"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("bigint").alias("side"), "node", "n", "fp", "label", "sketch")
+        pairs = materialize(cut.repartition("s", "k2").sortWithinPartitions("s", "k2", "side").mapInArrow(_candidates(every), "a bigint, b bigint").distinct())
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        own = materialize(whole.select("node", "shingles").join(F.broadcast(wanted), "node", "left_semi").dropDuplicates(["node"]))
+        # one document for each set that has to be read again
+        named = sets.join(wanted, "node").groupBy("node").agg(F.min(F.struct("mark", "doc_id")).alias("x")).select(F.col("x.doc_id").alias("named_id"), F.col("x.mark").alias("mark")).distinct()
+        texts = docs.join(named, docs.doc_id.eqNullSafe(named.named_id) & (F.xxhash64(docs.text) == named.mark), "left_semi").select("text")
+        own = materialize(texts.mapInArrow(lean(_rehash), "node bigint, shingles binary").dropDuplicates(["node"]))
         both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return materialize(both.mapInArrow(_similar, "u bigint, v bigint"))
+        found = materialize(both.mapInArrow(_similar, "u bigint, v bigint"))
+        release(pairs)
+        release(own)
+        return found
 
-    # most pairs of a large group are linked through a node they share; only what is still apart is compared pair by pair
-    small, large = cut.where(F.col("size") <= RUN), cut.where(F.col("size") > RUN)
-    alone = sketches.withColumn("label", F.col("node"))
-    found = links(small, alone, True).union(links(large, alone, False))
+    # most sets of a block are linked through one that they share; then what is still apart is compared pair by pair
+    found = links(shared.withColumn("label", F.col("node")), False)
     roots = connected_components(found)
-    labels = sketches.join(roots, "node", "left").select("node", "n", "sketch", F.coalesce("root", "node").alias("label"))
-    roots = connected_components(found.union(links(large, labels, True)))
-    return sets.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    labelled = shared.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    apart = labelled.groupBy("s").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("s")
+    rest = labelled.join(apart, "s", "left_semi")
+    roots = connected_components(found.union(links(rest, True)))
+    return sets.select("doc_id", "mark", "node").join(roots, "node", "left").select("doc_id", "mark", F.coalesce("root", "node").alias("root"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of docs(doc_id, text, ...) for each group of similar documents: that of the smallest doc_id.
+
+    A row without doc_id is kept only where no row of its group has one; of rows that repeat doc_id and text one stays.
+    """
+    groups = similar_groups(docs)
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.mark").alias("kept_mark"))
+    times = groups.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    kept = materialize(kept.distinct())
+    text = docs[next(c for c in docs.columns if c == "text")] if docs.columns.count("text") == 1 else F.col("text")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept.kept_id) & (F.xxhash64(text) == kept.kept_mark), "left_semi")
+    again = materialize(times.select(F.col("doc_id").alias("again_id"), F.col("mark").alias("again_mark")))
+    if not again.limit(1).count():
+        return out
+    match = out["doc_id"].eqNullSafe(again.again_id) & (F.xxhash64(out["text"]) == again.again_mark)
+    return out.join(again, match, "left_anti").unionByName(out.join(again, match, "left_semi").dropDuplicates(["doc_id", "text"]))

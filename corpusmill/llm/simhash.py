@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import LOWER, joined, materialize, pick, slices, word_spans
+from corpusmill.llm.common import LOWER, joined, lean, materialize, pick, slices, word_spans
 from corpusmill.llm.components import connected_components
 
 SHINGLE = 4
@@ -43,18 +43,19 @@ def shingle_hashes(data: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> t
     last = np.minimum(first + width, firsts[1:][doc]) - 1
     raw = memoryview(text.tobytes())
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(raw[a:b], SEED) for a, b in zip(begin[first].tolist(), end[last].tolist())), np.uint64, len(first)
-    )
+    hashes = np.empty(len(first), np.uint64)
+    step = 1 << 14
+    for at in range(0, len(first), step):
+        a, b = begin[first[at : at + step]].tolist(), end[last[at : at + step]].tolist()
+        hashes[at : at + step] = [digest(raw[x:y], SEED) for x, y in zip(a, b)]
     return hashes, edges
 
 
-def fingerprints(data: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> np.ndarray:
-    """One uint64 per document: a bit is set if it is set in over half the shingles; no words: 0."""
-    hashes, edges = shingle_hashes(data, off, width)
+def majority(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """One uint64 for each run of hashes: a bit is set if it is set in over half of them; none: 0."""
     n = len(edges) - 1
     votes = np.zeros((n, 64), np.int64)
-    step = 1 << 17
+    step = 1 << 15
     for at in range(0, len(hashes), step):
         part = hashes[at : at + step]
         bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -66,6 +67,11 @@ def fingerprints(data: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> np.
     return np.packbits(ones, axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
 
 
+def fingerprints(data: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each document; no words: 0."""
+    return majority(*shingle_hashes(data, off, width))
+
+
 def with_fingerprint(docs: DataFrame, column: str = "fp", width: int = SHINGLE) -> DataFrame:
     """docs(doc_id, text) to (doc_id, fp bigint): the fingerprint's bits as a signed long."""
 
@@ -74,7 +80,7 @@ def with_fingerprint(docs: DataFrame, column: str = "fp", width: int = SHINGLE)
             fp = fingerprints(data, off, width).view(np.int64)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fp)], names=["doc_id", column])
 
-    return pick(docs, "doc_id", "text").mapInArrow(scan, f"doc_id bigint, {column} bigint")
+    return pick(docs, "doc_id", "text").mapInArrow(lean(scan), f"doc_id bigint, {column} bigint")
 
 
 def pieces_for(n: int, radius: int = RADIUS) -> int:
@@ -197,7 +203,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, n: int | None =
         sized = sized.withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
         rows = sized.select("k1", (F.least("b", "o") * F.col("n") + F.greatest("b", "o")).alias("k2"), F.when(F.col("b") > F.col("o"), 1).otherwise(0).cast("bigint").alias("side"), "fp", "rep")
     sorted_rows = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "side")
-    return sorted_rows.mapInArrow(_links, "u bigint, v bigint")
+    return sorted_rows.mapInArrow(lean(_links), "u bigint, v bigint")
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
