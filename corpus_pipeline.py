@@ -24,10 +24,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest doc_id, of each group linked by a similarity of 5-word shingles of at least 0.8.
 
-    Documents without doc_id stay if one of them is in no group with a doc_id.
+    Fingerprints select which documents are compared. A document without doc_id stays only where none of its group has one.
     """
-    kept = shingles.similar_groups(docs).groupBy("root").agg(F.min("doc_id").alias("kept_id")).select("kept_id")
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi").select(*COLUMNS)
+    return shingles.one_of_each(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
