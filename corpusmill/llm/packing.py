@@ -124,23 +124,15 @@ def shortest_pack_first(histogram: dict[int, int], length: int = SEQUENCE) -> li
     packs: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
-        # the shortest pack takes as many of this size as it has room for, then the next one
-        for t in sorted(t for t in packs if packs[t] and t + size <= length):
-            each = (length - t) // size
-            for _ in range(len(packs[t])):
-                if not left:
-                    break
+        # each of the shortest packs takes one; it is then longer and comes up again in its turn
+        for t in range(length - size + 1):
+            while left and packs.get(t):
                 count, pattern = packs[t].pop(0)
-                full = min(count, left // each)
-                if full:
-                    packs[t + each * size].append((full, (*pattern, *[size] * each)))
-                    left -= full * each
-                rest = left if full < count else 0
-                if rest:
-                    packs[t + rest * size].append((1, (*pattern, *[size] * rest)))
-                    left = 0
-                if count > full + bool(rest):
-                    packs[t].append((count - full - bool(rest), pattern))
+                used = min(count, left)
+                if used < count:
+                    packs[t].insert(0, (count - used, pattern))
+                packs[t + size].append((used, (*pattern, size)))
+                left -= used
         # what is left starts new packs, several of a size together
         each = length // size
         if left:

@@ -1,15 +1,13 @@
 """Repeated-passage removal: count-min prefilter, then exact grouping of the windows that may repeat.
 
 Documents are packed once, without a shuffle, into chunks of bounded text. Each chunk is a
-partition of the corpus with its own sketch: the set of cells that its windows hash to, sent
-sorted and delta coded, cut by cell range into blocks. Merging a block's sketches counts in how
-many chunks a cell occurs, which is never less than the count of any window in it. Cells
-that occur in one chunk only can't hold a window that repeats elsewhere; such windows are
-settled inside their chunk. The second pass sends only the other windows, as 128-bit hashes with
-the place of the chunk's first occurrence, and groups them exactly; each chunk
-gets back one bit for each window, whether it starts earlier elsewhere. All messages are bounded
-by chunk and block size, and a window that a third of all documents share is
-one entry for each chunk.
+partition of the corpus with its own count-min sketch of its windows: ROWS rows of counters that saturate at two. The
+sketch is cut by the leading bits of the hash into blocks of a fixed number of cells, so it grows in blocks, as the corpus does, and
+each block is merged by a task of its own; only counters above zero are sent. The sum of the chunks' counters is
+never less than the count of any window, so a window with a counter below two occurs once in the corpus. The second pass
+sends only the other windows, as 128-bit hashes with the place of the chunk's first occurrence, and groups them
+exactly; each chunk gets back one bit for each, whether it starts earlier elsewhere. A window that a third of all documents
+share is one entry for each chunk.
 """
 
 from __future__ import annotations
@@ -25,48 +23,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import joined, materialize, pick, slices, span_hash, table, text_buffers, window_hash, window_starts, word_spans
+from corpusmill.llm.common import give_back, joined, lean, materialize, pick, slices, span_hash, table, text_buffers, window_hash, window_starts, word_spans
 
 WINDOW = 20
-#: Text bytes in a chunk; raise it with executor memory and corpus size.
-CHUNK_BYTES = 6 << 20
-#: Windows that a block's task merges, on average.
+#: Text bytes in a chunk. At many TB take 128 MB and blocks of 2**24 windows, in executors with memory for it, so that a message still holds many windows.
+CHUNK_BYTES = 4 << 20
+#: Windows of a block of the sketch, at most on average.
 BLOCK_WINDOWS = 1 << 20
-#: Cells for each window of the corpus, as a power of two: about 1/16 of the single windows pass the sketch.
-SPARE_BITS = 4
+#: Rows of the sketch, and cells in a row for each window of a full block, as a power of two: at most 1 in 20 single windows passes.
+ROWS, SPARE_BITS = 2, 2
 
 
 def pack_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs to a written table (chunk, words, rows): rows are Arrow streams of whole documents with all columns."""
+    """docs to a written table (chunk, words, rows), one row a chunk: rows is an Arrow stream of whole documents with all columns."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, filled = TaskContext.get().partitionId() << 32, 0, 0
+        part, seq, filled, words = TaskContext.get().partitionId() << 32, 0, 0, 0
+        sink = out = None
+
+        def done() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pydict({"chunk": [part | seq], "words": [words], "rows": [sink.getvalue().to_pybytes()]})
+
         for rows, data, off in slices(batches, limit=1 << 20):
             if filled and filled + len(data) > chunk_bytes:
-                seq, filled = seq + 1, 0
+                yield done()
+                seq, filled, words, out = seq + 1, 0, 0, None
+            if out is None:
+                sink = pa.BufferOutputStream()
+                out = pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            out.write_batch(rows)
             filled += len(data)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(rows)
-            words = len(word_spans(data, off)[0])
-            yield pa.RecordBatch.from_pydict({"chunk": [part | seq], "words": [words], "rows": [sink.getvalue().to_pybytes()]})
-
-    return materialize(docs.mapInArrow(pack, "chunk bigint, words bigint, rows binary"), compression="none")
+            words += len(word_spans(data, off)[0])
+        if out is not None:
+            yield done()
 
-
-def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, which: int, step: int = 1 << 16) -> np.ndarray:
-    out = np.empty(len(s), np.uint64)
-    for i in range(0, len(s), step):
-        a, b = s[i : i + step], e[i : i + step]
-        out[i : i + step] = span_hash(data[a[0] : b[-1]], a - a[0], b - a[0], which)
-    return out
+    return materialize(docs.mapInArrow(lean(pack), "chunk bigint, words bigint, rows binary"), compression="none")
 
 
 class Chunk:
     """The windows of a chunk's documents, taken in the order of doc_id."""
 
-    def __init__(self, packed: pa.Table, width: int) -> None:
-        rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packed.column("rows")])
+    def __init__(self, packed: bytes | pa.Buffer, width: int) -> None:
+        rows = pa.ipc.open_stream(packed).read_all()
         ids = np.array(rows.column("doc_id").fill_null(np.iinfo(np.int64).min))
         # rows of one doc_id are ordered by text, so that the result doesn't depend on how they arrived
         self.rows = rows.take(pa.array(np.argsort(ids, kind="stable"))) if len(np.unique(ids)) == len(ids) else rows.append_column("ord__", pa.array(ids)).sort_by([("ord__", "ascending"), ("text", "ascending")]).drop_columns(["ord__"])
@@ -74,9 +73,8 @@ class Chunk:
         self.width = width
         self.data, self.off = text_buffers(self.rows.column("text"))
         self.s, self.e, self.firsts = word_spans(self.data, self.off)
-        w1, w2 = (word_hashes(self.data, self.s, self.e, k) for k in (0, 1))
-        starts = window_starts(self.firsts, width)
-        h1, h2 = window_hash(w1, width, 0)[starts], window_hash(w2, width, 1)[starts]
+        starts = window_starts(self.firsts, width).astype(np.int32 if len(self.s) < 1 << 31 else np.int64)
+        h1, h2 = (window_hash(span_hash(self.data, self.s, self.e, k), width, k)[starts] for k in (0, 1))
         order = np.argsort(h1, kind="stable")
         a, b = h1[order], h2[order]
         new = np.ones(len(a), bool)
@@ -89,32 +87,44 @@ class Chunk:
         self.new = new  # the first occurrence of each different window
         self.h1, self.h2 = a[new], b[new]
         self.first = self.starts[new]
-
-    def cells(self, bits: int) -> np.ndarray:
-        return self.h1 >> np.uint64(64 - bits)
-
-    def candidates(self, bits: int, blocks: int, replies: dict[int, np.ndarray]) -> np.ndarray:
-        """Indexes of the different windows whose cell occurs in another chunk too."""
-        cells = self.cells(bits)
-        unique = np.ones(len(cells), bool)
-        unique[1:] = cells[1:] != cells[:-1]
-        which = np.cumsum(unique) - 1
-        shared = np.zeros(int(unique.sum()), bool)
-        for k, lo, hi in cut(block_of(cells[unique], bits, blocks)):
-            shared[lo:hi] = np.unpackbits(replies[k], count=hi - lo)
-        return np.flatnonzero(shared[which])
-
-
-def block_of(cells: np.ndarray, bits: int, blocks: int) -> np.ndarray:
-    return (cells * np.uint64(blocks)) >> np.uint64(bits)
-
-
-def cut(blocks: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(block, from, to) of a sorted array of blocks."""
-    if len(blocks):
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]])
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            yield int(blocks[lo]), lo, hi
+        self.times = np.diff(np.append(np.flatnonzero(new), len(new)))  # of each different window in this chunk
+
+    def blocks(self, bits: int, which: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+        """(block, from, to) of the different windows, or of those that which indexes."""
+        blocks = block_of(self.h1 if which is None else self.h1[which], bits)
+        if len(blocks):
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]])
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                yield int(blocks[lo]), lo, hi
+
+    def cells(self, lo: int, hi: int, row: int, bits: int, cell_bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """In one row of a block: the cells of some different windows, sorted, and which of them each window has."""
+        h = self.h1[lo:hi] << np.uint64(bits) if row == 0 and bits else self.h1[lo:hi] if row == 0 else self.h2[lo:hi]
+        cells, which = np.unique(h >> np.uint64(64 - cell_bits), return_inverse=True)
+        return cells, which.reshape(-1)
+
+    def sketch(self, lo: int, hi: int, row: int, bits: int, cell_bits: int) -> np.ndarray:
+        """The counters above zero in one row of a block: twice the cell, and one more if the counter is two."""
+        cells, which = self.cells(lo, hi, row, bits, cell_bits)
+        counters = 2 * cells + (np.bincount(which, self.times[lo:hi]) > 1).astype(np.uint64)
+        return np.concatenate([np.zeros(1, np.uint64), counters])  # differences start from 0
+
+    def candidates(self, bits: int, cell_bits: int, replies: dict[int, np.ndarray]) -> np.ndarray:
+        """Indexes of the different windows that the merged sketch counts more than once."""
+        repeated = np.zeros(len(self.h1), bool)
+        for k, lo, hi in self.blocks(bits):
+            ok, at = np.ones(hi - lo, bool), 0
+            for row in range(ROWS):
+                cells, which = self.cells(lo, hi, row, bits, cell_bits)
+                size = (len(cells) + 7) // 8
+                ok &= np.unpackbits(replies[k][at : at + size], count=len(cells)).astype(bool)[which]
+                at += size
+            repeated[lo:hi] = ok
+        return np.flatnonzero(repeated)
+
+
+def block_of(h1: np.ndarray, bits: int) -> np.ndarray:
+    return (h1 >> np.uint64(64 - bits) if bits else np.zeros(len(h1), np.uint64)).astype(np.int64)
 
 
 def delta_encode(sorted_values: np.ndarray, dtype: str) -> bytes:
@@ -142,14 +152,17 @@ def unplanes(raw, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
 
 
-def merge_sketches(group: pa.Table, dtype: str) -> pa.Table:
-    """One block's sketches to a bit for each cell of each chunk: it occurs in several chunks."""
-    parts = [delta_decode(raw.as_buffer(), base.as_py(), dtype) for raw, base in zip(group.column("cells"), group.column("base"))]
-    _, which, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    shared, at, bits = counts[which.reshape(-1)] > 1, 0, []
-    for p in parts:
-        bits.append(np.packbits(shared[at : at + len(p)]).tobytes())
-        at += len(p)
+def merge_sketches(group: pa.Table, dtype: str, cell_bits: int) -> pa.Table:
+    """One block's sketches, added up, to a bit for each counter that a chunk sent: the sum is two or more."""
+    bits = [b""] * group.num_rows
+    for row in range(ROWS):
+        total = np.zeros(1 << cell_bits, np.uint8)
+        for raw in group.column(f"row{row}"):
+            counters = delta_decode(raw.as_buffer(), 0, dtype)[1:]
+            cells = counters >> np.uint64(1)
+            total[cells] = np.minimum(total[cells] + 1 + (counters & np.uint64(1)).astype(np.uint8), 2)
+        for i, raw in enumerate(group.column(f"row{row}")):
+            bits[i] += np.packbits(total[delta_decode(raw.as_buffer(), 0, dtype)[1:] >> np.uint64(1)] > 1).tobytes()
     return pa.table({"chunk": group.column("chunk"), "kind": pa.array(np.ones(len(bits), np.int32)), "block": group.column("block"), "bits": pa.array(bits, pa.binary())})
 
 
@@ -214,46 +227,51 @@ def remove_repeated(docs: DataFrame, width: int = WINDOW, digest: bool = False,
         out_type = T.StructType([*source.schema.fields, *T.StructType.fromDDL("n_words bigint, n_removed bigint").fields])
     arrow_type = to_arrow_schema(out_type)
     chunks = pack_chunks(source, chunk_bytes)
-    stats = chunks.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.countDistinct("chunk").alias("chunks")).first()
-    bits = min(56, max(16, math.ceil(math.log2(stats["words"] + 1)) + SPARE_BITS))
-    blocks = max(1, math.ceil(stats["words"] / block_windows))
-    if bits + blocks.bit_length() > 63:
-        raise ValueError("too many blocks: raise block_windows")
-    gap = 2**bits * max(1, stats["chunks"]) / max(1, stats["words"])
-    dtype = "u2" if gap < 2**14 else "u4" if gap < 2**30 else "u8"
-
-    def sketch(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        chunk = Chunk(group, width)
-        cells = np.unique(chunk.cells(bits))
-        found = [(k, int(cells[lo]), delta_encode(cells[lo:hi], dtype)) for k, lo, hi in cut(block_of(cells, bits, blocks))]
-        return pa.table([pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], names=["chunk", "block", "base", "cells"])
+    stats = chunks.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.count(F.lit(1)).alias("chunks")).first()
+    bits = max(0, math.ceil(math.log2(max(1, stats["words"]) / block_windows)))
+    cell_bits = max(6, math.ceil(math.log2(block_windows)) + SPARE_BITS)
+    gap = 2 ** (bits + cell_bits + 1) * max(1, stats["chunks"]) / max(1, stats["words"])
+    dtype = "u2" if gap < 2**14 else "u4"
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                chunk = Chunk(packed.as_buffer(), width)
+                found = [(key, k, *(delta_encode(chunk.sketch(lo, hi, r, bits, cell_bits), dtype) for r in range(ROWS))) for k, lo, hi in chunk.blocks(bits)]
+                del chunk
+                columns = list(zip(*found)) or [()] * (2 + ROWS)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["chunk", "block", *(f"row{r}" for r in range(ROWS))])
 
     def candidates(key: tuple[pa.Scalar, ...], group: pa.Table, messages: pa.Table) -> pa.Table:
-        chunk = Chunk(group, width)
-        mine = chunk.candidates(bits, blocks, _replies(messages, 1))
+        chunk = Chunk(group.column("rows")[0].as_buffer(), width)
+        mine = chunk.candidates(bits, cell_bits, _replies(messages, 1))
         h1, h2, first = chunk.h1[mine], chunk.h2[mine], chunk.first[mine]
         doc = np.searchsorted(chunk.firsts, first, "right") - 1
         ids, pos = chunk.ids[doc], (first - chunk.firsts[doc]).astype("u4")
-        found = list(cut(block_of(h1 >> np.uint64(64 - bits), bits, blocks)))
+        found = list(chunk.blocks(bits, mine))
+        give_back()
         columns = [pa.array([planes(x[lo:hi]) for _, lo, hi in found], pa.binary()) for x in (h1, h2, ids, pos)]
         return pa.table([pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array([x[0] for x in found], pa.int64()), *columns], names=["chunk", "block", "h1", "h2", "ids", "pos"])
 
     def finish(key: tuple[pa.Scalar, ...], group: pa.Table, messages: pa.Table) -> pa.Table:
-        chunk = Chunk(group, width)
-        mine = chunk.candidates(bits, blocks, _replies(messages, 1))
+        chunk = Chunk(group.column("rows")[0].as_buffer(), width)
+        mine = chunk.candidates(bits, cell_bits, _replies(messages, 1))
         replies, earlier = _replies(messages, 2), np.zeros(len(mine), bool)
-        for k, lo, hi in cut(block_of(chunk.h1[mine] >> np.uint64(64 - bits), bits, blocks)):
+        for k, lo, hi in chunk.blocks(bits, mine):
             earlier[lo:hi] = np.unpackbits(replies[k], count=hi - lo)
         removed = np.concatenate([chunk.starts[~chunk.new], chunk.first[mine[earlier]]])
-        return _finish(chunk, removed, digest, arrow_type)
+        out = _finish(chunk, removed, digest, arrow_type)
+        give_back()
+        return out
 
     by_chunk = lambda df: df.groupBy("chunk")
+    payload = chunks.select("chunk", "rows")
     reply = "chunk bigint, kind int, block bigint, bits binary"
-    sketches = by_chunk(chunks).applyInArrow(sketch, "chunk bigint, block bigint, base bigint, cells binary")
-    shared = materialize(sketches.groupBy("block").applyInArrow(lambda g: merge_sketches(g, dtype), reply))
-    windows = by_chunk(chunks).cogroup(by_chunk(shared)).applyInArrow(candidates, "chunk bigint, block bigint, h1 binary, h2 binary, ids binary, pos binary")
+    sketches = payload.mapInArrow(lean(sketch), "chunk bigint, block bigint, " + ", ".join(f"row{r} binary" for r in range(ROWS)))
+    shared = materialize(sketches.groupBy("block").applyInArrow(lambda g: merge_sketches(g, dtype, cell_bits), reply))
+    windows = by_chunk(payload).cogroup(by_chunk(shared)).applyInArrow(candidates, "chunk bigint, block bigint, h1 binary, h2 binary, ids binary, pos binary")
     places = materialize(windows.groupBy("block").applyInArrow(first_places, reply))
-    return by_chunk(chunks).cogroup(by_chunk(shared.unionByName(places))).applyInArrow(finish, out_type)
+    return by_chunk(payload).cogroup(by_chunk(shared.unionByName(places))).applyInArrow(finish, out_type)
 
 
 def op9_substring(spark, sf_dir: str) -> DataFrame:

@@ -65,3 +65,40 @@ def test_one_passage_in_very_many_documents(spark):
     frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(7)
     rows = substring.remove_repeated(frame, digest=True, chunk_bytes=5000, block_windows=2000).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == expected(docs)
+
+
+def test_sketches_add_up_and_never_count_too_little():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [helpers.prose(rng, 400, 10**6) for _ in range(6)]
+    texts += [texts[0], f"{texts[1]} {texts[1]}"]
+    chunks = []
+    for part in (texts[:4], texts[4:]):
+        rows = pa.record_batch({"doc_id": pa.array(range(len(part)), pa.int64()), "text": part})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_batch(rows)
+        chunks.append(substring.Chunk(sink.getvalue(), 20))
+    bits, cell_bits = 1, 14
+    rows = [(k, block, *(substring.delta_encode(c.sketch(lo, hi, r, bits, cell_bits), "u4") for r in range(2))) for k, c in enumerate(chunks) for block, lo, hi in c.blocks(bits)]
+    found: list[set] = [set(), set()]
+    for block in (0, 1):
+        own = [r for r in rows if r[1] == block]
+        group = pa.table({"chunk": [r[0] for r in own], "block": [r[1] for r in own], "row0": [r[2] for r in own], "row1": [r[3] for r in own]})
+        merged = substring.merge_sketches(group, "u4", cell_bits)
+        for k, bit in zip(merged.column("chunk").to_pylist(), merged.column("bits").to_pylist()):
+            found[k].add((block, bit))
+    times: dict = {}
+    for c in chunks:
+        for h, n in zip(c.h1.tolist(), c.times.tolist()):
+            times[h] = times.get(h, 0) + n
+    passed = single = 0
+    for k, c in enumerate(chunks):
+        import numpy as np
+
+        mine = set(c.candidates(bits, cell_bits, {b: np.frombuffer(x, np.uint8) for b, x in found[k]}).tolist())
+        assert {i for i, h in enumerate(c.h1.tolist()) if times[h] > 1} <= mine
+        single += sum(times[h] == 1 for h in c.h1.tolist())
+        passed += sum(times[c.h1[i]] == 1 for i in mine)
+    assert passed < 0.1 * single
