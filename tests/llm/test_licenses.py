@@ -105,3 +105,51 @@ def test_query(spark, small):
     for r in rows:
         whole = {n for n, t in lic.TEMPLATES.items() if " ".join(lic.words(t)) in texts[r["doc_id"]]}
         assert whole <= set(r["licenses"].split(","))
+
+
+@pytest.mark.parametrize("text, found", [
+    ("Some this and that. This work is licensed under the GNU General Public License, version 3. And more of this.", "GPL-3.0-notice"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0-notice"),
+    ("This work is licensed under the GNU General Public License, version 7.", ""), ("Released under the Foo License.", ""),
+    ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("See the terms. Released under the MIT License. Released under the MIT License. " + "ten other words stand here that belong to no license text", "MIT-notice"),
+    ("Released under the MIT License. " + "x " * 300 + "Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0,MIT-notice"),
+])
+def test_one_license_for_one_notice(spark, text, found):
+    assert scan(spark, [(1, text)])[1]["licenses"] == found
+
+
+def test_notices_equal_brute_force(spark, small):
+    docs = [(r[0], r[1]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect() if r[1] and len(r[1]) < 20000]
+    rng = random.Random(6)
+    notices = [n for n in lic.TEMPLATES if len(lic.words(lic.TEMPLATES[n])) < 16]
+    for k in range(60):  # notices with words changed, dropped and added among the words of others
+        w = f"{lic.TEMPLATES[rng.choice(notices)]} {rng.choice(['', 'the of license', 'public version 3'])}".split()
+        w = [x for x in w if rng.random() > 0.08] + ["under", "the", "license"][: rng.randrange(4)]
+        docs.append((10**6 + k, helpers.prose(rng, 30) + " " + " ".join(w) + " " + helpers.prose(rng, 30)))
+    got = scan(spark, docs, templates={n: lic.TEMPLATES[n] for n in notices})
+    for i, text in docs:
+        w = lic.words(text)
+        reached = set()
+        for n in notices:
+            t = lic.words(lic.TEMPLATES[n])
+            required, excluded = set(lic.REQUIRED.get(n, "").split()), set(lic.EXCLUDED.get(n, "").split())
+            if not required <= set(w):
+                continue
+            for a in (k for k, x in enumerate(w) if x in t):
+                part = w[a : a + 2 * len(t)]
+                if longest(part, t) >= lic.COVERAGE * len(t) and required <= set(part):
+                    ends = [e for e in range(1, len(part) + 1) if longest(part[:e], t) >= lic.COVERAGE * len(t) and required <= set(part[:e])]
+                    if ends and not excluded & set(part[: ends[0]]):
+                        reached.add(n)
+                        break
+        listed = set(got[i]["licenses"].split(",")) - {""}
+        assert listed <= reached, (i, listed, reached)
+        assert bool(listed) == bool(reached), (i, listed, reached)
+
+
+def test_more_templates_than_one_scanner_takes(spark):
+    rng = random.Random(8)
+    templates = {f"t{k:03d}": helpers.letters(rng, 12, 10**6) for k in range(150)}
+    got = scan(spark, [(k, f"a b {t} c") for k, t in enumerate(templates.values())], templates=templates)
+    assert all(got[k]["license"] == f"t{k:03d}" for k in range(150))
