@@ -1,10 +1,10 @@
 """URL filter: rules by host and path, and gradient-boosted trees on lexical features for the rest.
 
-The trees learn from labelled URLs; in op2_urls those are the URLs that a rule decides. Rules label
-few URLs as allowed, so trees that saw nothing else would block nearly everything; unlabelled
-URLs therefore stand by as a background of presumably allowed ones, and only a high block probability counts. Suffix
-statistics (how often a host's last label occurs, and which share of its URLs is labelled block) are
-counted over all rows and joined to every URL.
+The trees learn from labelled URLs only; in op2_urls those are the URLs that a rule decides. Both labels weigh the same in
+total, as rules say nothing about how often the URLs without a rule are bad. A fifth of the sample, chosen by hash, is
+kept from the trees: on it the score is shifted so that 0.5 tells the labels apart best, and precision and recall are
+measured. Suffix statistics (how often a host's last label occurs, and which share of its labelled URLs is blocked) are counted over all
+rows in SUFFIX_BUCKETS hash buckets, so that they fit a broadcast whatever hosts there are; a labelled URL never counts its own label.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from corpusmill.llm.common import pick, table
 
 #: (verdict, host, path)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Bound of the labelled URLs, and of the background, that the trees are grown on.
+#: Bound of the labelled URLs that the trees are grown and calibrated on.
 SAMPLE = 20_000
-#: Block probability from which an URL without a rule is blocked.
-THRESHOLD = 0.9
+#: Score from which an URL without a rule is blocked; scores are calibrated for it.
+THRESHOLD = 0.5
+SUFFIX_BUCKETS = 1 << 16
 FEATURES = ("length", "host_length", "path_length", "depth", "parameters", "digit_ratio", "letter_ratio", "entropy", "hyphens", "host_labels", "longest_token", "https", "fragment", "suffix_count", "suffix_share")
 
 
@@ -87,16 +88,17 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def grow(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, bins: int = 32, least: int = 20, l2: float = 1.0) -> Trees:
-    """Newton boosting of the logistic loss on binned features."""
-    share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
+def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 40, depth: int = 4, bins: int = 32, least: int = 20, l2: float = 1.0) -> Trees:
+    """Newton boosting of the logistic loss on binned features; equal weights by default."""
+    weight = np.ones(len(y)) if weight is None else weight
+    share = float(np.clip((weight * y).sum() / weight.sum() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     model = Trees(bias=math.log(share / (1 - share)))
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if len(x) else np.zeros(0) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1) if len(x) else np.zeros((0, x.shape[1]), int)
     margin = np.full(len(y), model.bias)
     for _ in range(rounds if 0 < y.sum() < len(y) else 0):
         p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         tree: list[tuple] = []
 
         def build(rows: np.ndarray, left: int) -> int:
@@ -129,57 +131,109 @@ def grow(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, bins: i
     return model
 
 
-def _features(rows: pa.RecordBatch) -> np.ndarray:
-    cols = {n: rows.column(rows.schema.get_field_index(n)).to_pylist() for n in ("url", "host", "path", "suffix_count", "suffix_share")}
-    return np.array([lexical(*r) for r in zip(*cols.values())], float).reshape(-1, len(FEATURES))
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labels: Column | None = None, background: bool = True, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score) for every row of pages(page_id, url).
-
-    labels: what the trees learn, block or allow or null for an unlabelled URL; by default the rules' verdicts. They
-    are grown on up to `sample` labelled rows, and with `background` on as many unlabelled ones as allowed,
-    chosen by a hash. The verdict is the rule's, else block where the trees' block probability
-    (score) reaches the threshold. Without labelled URLs the score is 0. Null, empty and malformed URLs
-    have empty host and path, and are judged like others. No rows give no rows.
-    """
-    urls = pick(pages, "page_id", "url")
+@dataclass
+class Filter:
+    """Trees, the suffix statistics they need, and how well they did on labelled URLs that they had not seen (nan where there were none)."""
+
+    trees: Trees | None
+    count: np.ndarray  # by suffix bucket: URLs
+    labelled: np.ndarray
+    blocked: np.ndarray
+    cut: float = 0.0  # the margin that a score of 0.5 stands for
+    precision: float = math.nan
+    recall: float = math.nan
+
+    def features(self, rows: pa.RecordBatch) -> np.ndarray:
+        """label is null, allow or block; a labelled URL is left out of its suffix's share."""
+        get = {n: rows.column(rows.schema.get_field_index(n)) for n in ("url", "host", "path", "bucket", "label")}
+        at = np.array(get["bucket"])
+        own = np.array([v is not None for v in get["label"].to_pylist()], float)
+        block = np.array([v == "block" for v in get["label"].to_pylist()], float)
+        # a share is drawn towards one half, so that rare suffixes say little
+        share = (self.blocked[at] - block + 5) / (self.labelled[at] - own + 10)
+        text = [get[n].to_pylist() for n in ("url", "host", "path")]
+        return np.array([lexical(*r) for r in zip(*text, self.count[at].tolist(), share.tolist())], float).reshape(-1, len(FEATURES))
+
+    def scores(self, rows: pa.RecordBatch) -> np.ndarray:
+        if self.trees is None:
+            return np.zeros(rows.num_rows)
+        return 1 / (1 + np.exp(-np.clip(self.trees.margin(self.features(rows)) - self.cut, -30, 30)))
+
+
+def balance(y: np.ndarray) -> np.ndarray:
+    """Weights by which both labels count the same."""
+    ones = y.sum()
+    return np.where(y > 0, len(y) / (2 * max(1.0, ones)), len(y) / (2 * max(1.0, len(y) - ones)))
+
+
+def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """(cut, precision, recall): the cut that tells balanced labels apart best, the highest of equals; midway to the next lower margin."""
+    if not 0 < y.sum() < len(y):
+        return 0.0, math.nan, math.nan
+    weight = balance(y)
+    values = np.unique(margin)[::-1]
+    gain = [float((weight * np.where(y > 0, margin >= v, margin < v)).sum()) for v in values]
+    k = int(np.argmax(gain))
+    cut = float((values[k] + values[k + 1]) / 2 if k + 1 < len(values) else values[k])
+    hit = margin >= cut
+    return cut, float((hit & (y > 0)).sum() / max(1, hit.sum())), float((hit & (y > 0)).sum() / y.sum())
+
+
+def prepared(pages: DataFrame, rules: list[tuple[str, str, str]], labels: Column | None) -> DataFrame:
+    """(page_id, url, host, path, rule, decided, label, bucket): decided is the rule's verdict, label what may be learned."""
+    urls = pick(pages, "page_id", "url") if labels is None else pages
     host, path = host_and_path(F.col("url"))
     urls = urls.withColumn("host", host).withColumn("path", path)
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     urls = urls.withColumn("rule", rule).withColumn("decided", verdict).withColumn("label", F.col("decided") if labels is None else labels)
-    urls = urls.withColumn("suffix", F.substring_index("host", ".", -1))
-    known = urls if background else urls.where("label is not null")
-    blocked = F.coalesce((F.col("label") == "block").cast("double"), F.lit(0.0))
-    stats = known.groupBy("suffix").agg(F.count(F.lit(1)).cast("double").alias("suffix_count"), F.sum(blocked).alias("blocked"))
-    total = known.agg(F.coalesce(F.avg(blocked), F.lit(0.0))).first()[0]
-    # a share is drawn towards the overall one, so that rare suffixes say little
-    stats = stats.select("suffix", "suffix_count", ((F.col("blocked") + F.lit(10.0 * total)) / (F.col("suffix_count") + 10)).alias("suffix_share"))
-    joined = urls.join(stats, "suffix", "left").fillna({"suffix_count": 0.0, "suffix_share": total})
-    ddl = ", ".join(f"{n} double" for n in FEATURES)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            x = _features(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, j]) for j in range(x.shape[1])] + [rows.column(rows.schema.get_field_index("target"))], names=[*FEATURES, "target"])
+    label = F.when(F.col("label").isin("allow", "block"), F.col("label"))
+    bucket = F.pmod(F.xxhash64(F.substring_index("host", ".", -1)), F.lit(SUFFIX_BUCKETS)).cast("int")
+    return urls.select("page_id", "url", "host", "path", "rule", "decided", label.alias("label"), bucket.alias("bucket"))
+
+
+def learn(urls: DataFrame, sample: int = SAMPLE) -> Filter:
+    """Statistics over all rows of prepared() URLs, and trees from at most `sample` of the labelled ones, chosen by a hash."""
+    stats = urls.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.count(F.when(F.col("label") == "block", 1)).alias("blocked")).toArrow()
+    columns = [np.zeros(SUFFIX_BUCKETS) for _ in range(3)]
+    for column, name in zip(columns, ("n", "labelled", "blocked")):
+        column[np.array(stats.column("bucket"))] = np.array(stats.column(name))
+    found = Filter(None, *columns)
+    chosen = urls.where("label is not null").withColumn("h", F.xxhash64("url", "page_id")).orderBy("h", "url", "page_id").limit(sample)
+    rows = chosen.select("url", "host", "path", "bucket", "label", "h").toArrow().combine_chunks()
+    if not rows.num_rows:
+        return found
+    batch = rows.to_batches()[0]
+    x, y = found.features(batch), np.array([v == "block" for v in batch.column(4).to_pylist()], float)
+    held = (np.array(batch.column(5)) >> 7) % 5 == 0  # equal URLs of one page fall on one side
+    if len(set(y[~held].tolist())) < 2:
+        held[:] = False
+    if len(set(y.tolist())) < 2:  # URLs of one label don't tell what the other looks like
+        return found
+    found.trees = grow(x[~held], y[~held], balance(y[~held]))
+    found.cut, found.precision, found.recall = calibrate(found.trees.margin(x[held]), y[held])
+    return found
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labels: Column | None = None, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score) for every row of pages(page_id, url).
 
-    ordered = joined.withColumn("target", blocked).orderBy(F.xxhash64("url", "page_id"), "url", "page_id")
-    chosen = ordered.where("label is not null").limit(sample)
-    if background:
-        chosen = chosen.unionByName(ordered.where("label is null").limit(sample))
-    learned = chosen.mapInArrow(features, ddl + ", target double").toPandas()
-    model = grow(learned[list(FEATURES)].to_numpy(float), learned["target"].to_numpy(float)) if len(learned) else None
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    labels: what the trees learn, block or allow or null for an unlabelled URL; by default the rules' verdicts. The
+    verdict is the rule's, else block where the score reaches the threshold. Of equally long rules that fit, the
+    later in the list counts. Without URLs of both labels the score is 0 and what no rule decides is allowed. Null, empty and malformed URLs
+    have empty host and path, and are judged like others. Repeated rows each get a row. No rows give no rows.
+    """
+    urls = prepared(pages, rules, labels)
+    shared = pages.sparkSession.sparkContext.broadcast(learn(urls, sample))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            p = shared.value.probability(_features(rows)) if shared.value else np.zeros(rows.num_rows)
+            p = shared.value.scores(rows)
             kept = [rows.column(rows.schema.get_field_index(n)) for n in ("page_id", "host", "path", "rule")]
             own = rows.column(rows.schema.get_field_index("decided")).to_pylist()
             verdicts = [v or ("block" if q >= threshold else "allow") for v, q in zip(own, p)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(verdicts, pa.string()), pa.array(p)], names=["page_id", "host", "path", "rule", "verdict", "score"])
 
-    return joined.mapInArrow(score, "page_id bigint, host string, path string, rule string, verdict string, score double")
+    return urls.mapInArrow(score, "page_id bigint, host string, path string, rule string, verdict string, score double")
 
 
 def op2_urls(spark, sf_dir: str) -> DataFrame:

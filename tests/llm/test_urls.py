@@ -53,7 +53,7 @@ def test_trees_learn_from_labels(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, mark string")
     marked = pages.withColumn("url", urls.F.concat("url", urls.F.lit("?m="), "mark"))
     label = urls.F.when(urls.F.col("page_id") % 2 == 0, urls.F.regexp_extract("url", "m=(.*)$", 1))
-    got = urls.judge(marked, rules=[], labels=label, background=False, threshold=0.5).collect()
+    got = urls.judge(marked, rules=[], labels=label, threshold=0.5).collect()
     want = {i: m for i, _, m in rows}
     held = [r for r in got if r["page_id"] % 2]
     assert sum(r["verdict"] == want[r["page_id"]] for r in held) >= 0.98 * len(held)
@@ -72,3 +72,53 @@ def test_no_rows_and_no_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c"), (1, "http://a.b/c"), (None, None)], "page_id bigint, url string")
     assert sorted((r["page_id"] or 0, r["verdict"], r["score"]) for r in urls.judge(pages, rules=[]).collect())[1:] == [(1, "allow", urls.judge(pages, rules=[]).collect()[0]["score"])] * 2
     assert urls.judge(pages.where("false")).collect() == []
+
+
+def test_features_equal_their_definitions():
+    url = "https://a-b.example.com/en/7x?q=1&r=2#top"
+    got = dict(zip(urls.FEATURES, urls.lexical(url, "a-b.example.com", "/en/7x", 5, 0.25)))
+    share = [url.count(c) / len(url) for c in set(url)]
+    want = {"length": len(url), "host_length": 15, "path_length": 6, "depth": 2, "parameters": 2, "digit_ratio": 3 / len(url), "hyphens": 1, "host_labels": 3, "longest_token": 7, "https": 1, "fragment": 1, "suffix_share": 0.25}
+    assert all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    assert abs(got["entropy"] + sum(p * np.log2(p) for p in share)) < 1e-9 and abs(got["suffix_count"] - np.log(6)) < 1e-12
+
+
+def test_one_split_equals_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        x, y, w = rng.integers(0, 6, (60, 3)).astype(float), rng.integers(0, 2, 60).astype(float), rng.random(60) + 0.5
+        model = urls.grow(x, y, w, rounds=1, depth=1, bins=1000, least=5)
+        share = (w * y).sum() / w.sum()
+        g, h = w * (y - share), w * share * (1 - share)
+        gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+        every = [gain(x[:, j] <= t) + gain(x[:, j] > t) for j in range(3) for t in range(6) if min((x[:, j] <= t).sum(), (x[:, j] > t).sum()) >= 5]
+        j, t, *_ = model.nodes[0][0]
+        assert abs(gain(x[:, j] <= t) + gain(x[:, j] > t) - max(every)) < 1e-9
+
+
+def test_calibration_is_the_best_cut():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        y = np.append(rng.integers(0, 2, 40), [0, 1]).astype(float)
+        margin = np.round(rng.normal(size=42) + y, 1)
+        cut, precision, recall = urls.calibrate(margin, y)
+        worth = lambda c: ((margin >= c) & (y > 0)).sum() / y.sum() + ((margin < c) & (y == 0)).sum() / (1 - y).sum()  # noqa: B023, E731
+        assert worth(cut) >= max(worth(c) for c in np.unique(margin)) - 1e-12
+        assert recall == ((margin >= cut) & (y > 0)).sum() / y.sum() and 0 <= precision <= 1
+
+
+def test_a_label_never_counts_in_its_own_features(spark):
+    rows = [(i, f"http://s{i}.z{i}/{'a' * (i % 7)}", "block" if i % 2 else "allow") for i in range(400)]  # every suffix once
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, mark string")
+    found = urls.learn(urls.prepared(pages, [], urls.F.col("mark")))
+    batch = urls.prepared(pages, [], urls.F.col("mark")).toArrow().combine_chunks().to_batches()[0]
+    share = found.features(batch)[:, urls.FEATURES.index("suffix_share")]
+    assert (np.abs(share - 0.5) < 0.06).all()
+
+
+def test_both_verdicts_where_no_rule_decides(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = urls.learn(urls.prepared(pages, urls.RULES, None))
+    assert found.precision > 0.9 and found.recall > 0.9  # of URLs kept from the trees
+    got = [r for r in urls.judge(pages).collect() if r["rule"] is None]
+    assert {r["verdict"] for r in got} == {"allow", "block"}
