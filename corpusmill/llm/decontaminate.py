@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become template tokens: lower-cased words, with a typed placeholder for each number, each unit
-that follows a number and each name (a capitalised word inside a sentence). Windows of template
+Texts become template tokens: lower-cased words, with a typed placeholder for each number (in digits or spelled out), each unit
+that follows a number and each name (a capitalised word, at the start of a sentence unless it is a function word). Windows of template
 tokens are hash-joined with those of the benchmark, so that questions with other numbers, names or
 units still meet. A joined window counts only if its slots are consistent: within a document and item,
-the same value of the item always stands for the same value of the document.
+the same value of the item always stands for the same value of the document, and the other way round.
+Items of one template whose slots are equal in the same places are looked for once.
 """
 
 from __future__ import annotations
@@ -19,23 +20,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import LOWER, lean, mix, pick, ranges, slices, span_hash, spans, table, window_hash, window_starts
+from corpusmill.llm.common import LOWER, lean, materialize, mix, pick, release, slices, span_hash, spans, table, window_hash, window_starts
 
 WINDOW = 10
-#: Items with fewer words are too short to tell from chance and match nothing.
+#: Items with fewer words, or of which fewer are left as a template, are looked for word by word; the shorter ones as a sentence or line of its own.
 MIN_TOKENS = 5
 #: Share of an item's template tokens that consistent windows must cover.
 COVERAGE = 0.6
-#: Benchmark text in one block; each block's windows are sent to all tasks, and blocks are taken in turn.
+#: Benchmark text in one block; each block's windows are sent to all tasks. Blocks are taken in turn, and what one found is written before the next.
 BLOCK_BYTES = 8 << 20
 
+# Fixed values of English: units, numbers in words, and words that are no names where a sentence starts.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs pound pounds oz ounce ounces ton tons tonne tonnes "
     "ml cl l liter liters litre litres gal gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "c f k degree degrees percent pct usd eur gbp dollar dollars cent cents euro euros hz khz mhz ghz w kw mw v a j kj cal kcal pa kpa mph kph kmh"
 ).split()
+NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+OPENERS = (
+    "a about after all also although an and any are as at be because before both but by can could did do does each either every few find first following for from given had has have having he her here his how however "
+    "i if in is it its last let many may more most much my neither next no nor not now of on once only or other our out over please she should show since so some such suppose than that the their then there these they this those "
+    "to under until up using was we were what when where whether which while who whose why will with would write yes yet you your"
+).split()
 NUMBER, UNIT, NAME = 1, 2, 3
-MAX_NAME = 4
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
@@ -48,13 +55,19 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;\n\"|"]] = True
 
 
-def _unit_hashes() -> np.ndarray:
-    data = np.frombuffer("".join(UNITS).encode(), np.uint8)
-    e = np.cumsum([len(u) for u in UNITS])
-    return np.sort(span_hash(data, e - np.array([len(u) for u in UNITS]), e))
+def _hashes(words: list[str]) -> np.ndarray:
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    e = np.cumsum([len(w) for w in words])
+    return np.sort(span_hash(data, e - np.array([len(w) for w in words]), e))
+
+
+_UNIT_HASHES, _NUMBER_HASHES, _OPENER_HASHES = _hashes(UNITS), _hashes(NUMBERS), _hashes(OPENERS)
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-_UNIT_HASHES = _unit_hashes()
 _SLOT_HASH = mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x1234567))
 
 
@@ -66,39 +79,39 @@ class Tokens:
     firsts: np.ndarray
 
 
+def sentences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each document as hashes, with their spans; the index of each document's first; which words open a document or sentence."""
+    s, e, firsts = spans(_WORD[data], off)
+    value = span_hash(LOWER[data], s, e)
+    stops = np.concatenate([[0], np.cumsum(_STOP[data])])
+    opens = np.zeros(len(s), bool)
+    opens[firsts[:-1][firsts[:-1] < firsts[1:]]] = True
+    if len(s):
+        opens[1:] |= stops[s[1:]] > stops[e[:-1]]
+    return value, s, e, firsts, opens
+
+
 def canonical(data: np.ndarray, off: np.ndarray, names: bool = True, slots: bool = True) -> Tokens:
     """Template tokens of each document. A word with a digit is a number; a run of numbers or of names is one slot.
 
-    A name has a capital and then a small letter; more than MAX_NAME of them in a row are a title. Without slots every word stands for itself.
+    A name has a capital and then a small letter. Without slots every word stands for itself.
     """
-    s, e, firsts = spans(_WORD[data], off)
-    if not len(s):
-        none = np.zeros(0, np.uint64)
-        return Tokens(none, none, np.zeros(0, np.int8), firsts)
-    low = LOWER[data]
-    value = span_hash(low, s, e)
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    stops = np.concatenate([[0], np.cumsum(_STOP[data])])
+    value, s, e, firsts, opens = sentences(data, off)
     kind = np.zeros(len(s), np.int8)
-    if not slots:
+    if not slots or not len(s):
         return Tokens(value, value, kind, firsts)
-    opens = np.zeros(len(s), bool)  # first word of a document or sentence
-    opens[firsts[:-1][firsts[:-1] < firsts[1:]]] = True
-    opens[1:] |= stops[s[1:]] > stops[e[:-1]]
+    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     if names:
         second = np.minimum(s + 1, len(data) - 1)
-        capital = _UPPER[data[s]] & ~opens & (e - s > 1) & ~_UPPER[data[second]]  # SHOUTING holds no names
-        run = np.flatnonzero(np.diff(np.concatenate([[False], capital, [False]]).astype(np.int8)))
-        long = run[1::2] - run[::2] > MAX_NAME
-        capital[ranges(run[::2][long], (run[1::2] - run[::2])[long])] = False
+        capital = _UPPER[data[s]] & (e - s > 1) & ~_UPPER[data[second]]  # SHOUTING holds no names
+        capital &= ~(opens & _among(value, _OPENER_HASHES))
         kind[capital] = NAME
-    kind[digits[e] > digits[s]] = NUMBER
-    at = np.minimum(np.searchsorted(_UNIT_HASHES, value), len(_UNIT_HASHES) - 1)
+    kind[(digits[e] > digits[s]) | _among(value, _NUMBER_HASHES)] = NUMBER
     inside = np.ones(len(s), bool)
     inside[firsts[:-1][firsts[:-1] < firsts[1:]]] = False
     after = np.zeros(len(s), bool)
     after[1:] = kind[:-1] == NUMBER
-    kind[(_UNIT_HASHES[at] == value) & after & inside] = UNIT
+    kind[_among(value, _UNIT_HASHES) & after & inside] = UNIT
     same = np.zeros(len(s), bool)
     same[1:] = (kind[1:] == kind[:-1]) & np.isin(kind[1:], (NUMBER, NAME)) & inside[1:]
     if same.any():
@@ -125,18 +138,33 @@ class Index:
         texts = [(t or "").encode() for _, t in items]
         off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
-        self.slots = slots
+        self.slots, self.width = slots, width
         tok, plain = canonical(data, off, slots=slots), canonical(data, off, names=False, slots=slots)
-        few = [i for i in np.flatnonzero(np.diff(tok.firsts) < MIN_TOKENS).tolist()] if slots else []
-        literal = canonical(data, off, slots=False) if few else tok
-        few = [i for i in few if literal.firsts[i + 1] - literal.firsts[i] >= MIN_TOKENS]
-        self.literal = Index([items[i] for i in few], width, slots=False) if few else None
+        self.literal: Index | None = None
+        self.short: dict[int, dict[int, list[str]]] = defaultdict(lambda: defaultdict(list))  # by words: hash to items
+        if slots:
+            literal = canonical(data, off, slots=False)
+            n_words = np.diff(literal.firsts)
+            few = np.flatnonzero((np.diff(tok.firsts) < MIN_TOKENS) & (n_words >= MIN_TOKENS)).tolist()
+            self.literal = Index([items[i] for i in few], width, slots=False) if few else None
+            for i in np.flatnonzero((n_words > 0) & (n_words < MIN_TOKENS)).tolist():
+                own = literal.value[literal.firsts[i] : literal.firsts[i + 1]]
+                self.short[len(own)][int(window_hash(own, len(own))[0])].append(items[i][0])
+        self.short = {n: dict(x) for n, x in self.short.items()}
         named = [i for i in range(len(items)) if (tok.kind[tok.firsts[i] : tok.firsts[i + 1]] == NAME).any()]
-        # items with names are also there word by word, for copies in one case only
-        which = ranges(plain.firsts[:-1][named], np.diff(plain.firsts)[named])
-        self.tokens = tok = Tokens(*(np.concatenate([getattr(tok, f), getattr(plain, f)[which]]) for f in ("template", "value", "kind")), np.concatenate([tok.firsts, tok.firsts[-1] + np.cumsum(np.diff(plain.firsts)[named])]).astype(np.int64))
-        self.items, self.width = [i for i, _ in items] + [items[i][0] for i in named], width
-        self.sizes = np.diff(tok.firsts)
+        # items with names are also there without them, for copies in one case only
+        groups: dict[tuple, list[str]] = defaultdict(list)
+        first: list[tuple[Tokens, int]] = []
+        for source, i in [*((tok, i) for i in range(len(items))), *((plain, i) for i in named)]:
+            key = self._form(source, i)
+            if key not in groups:
+                first.append((source, i))
+            groups[key].append(items[i][0])
+        self.members = [sorted(x) for x in groups.values()]
+        parts = [slice(t.firsts[i], t.firsts[i + 1]) for t, i in first]
+        self.sizes = np.array([p.stop - p.start for p in parts], np.int64)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8))
+        self.tokens = tok = Tokens(*(np.concatenate([z, *(getattr(t, f)[p] for (t, _), p in zip(first, parts))]) for f, z in zip(("template", "value", "kind"), none)), np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64))
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         widths = np.where(self.sizes >= width, width, np.where(self.sizes >= MIN_TOKENS, self.sizes, 0))
         for w in sorted(set(widths.tolist()) - {0}):
@@ -149,12 +177,34 @@ class Index:
             seen[h >> np.uint64(42)] = True
             self.by_width[w] = (h[order], starts[order], owner[order], seen)
 
+    @staticmethod
+    def _form(tok: Tokens, i: int) -> tuple:
+        """The template of an item, and which of its slots hold the same value."""
+        part = slice(tok.firsts[i], tok.firsts[i + 1])
+        kinds, values = tok.kind[part], tok.value[part]
+        number: dict[tuple[int, int], int] = {}
+        same = tuple(number.setdefault((k, v), len(number)) for k, v in zip(kinds.tolist(), values.tolist()) if k)
+        return tok.template[part].tobytes(), same
+
     def search(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, str, float]]:
         """(document, item_id, coverage) with at least one consistent window."""
-        for d, item, share in self.matches(canonical(data, off, slots=self.slots)):
-            yield d, self.items[item], share
+        for d, form, share in self.matches(canonical(data, off, slots=self.slots)):
+            for item in self.members[form]:
+                yield d, item, share
         if self.literal is not None:
             yield from self.literal.search(data, off)
+        if self.short:
+            value, _, _, firsts, opens = sentences(data, off)
+            ends = np.append(opens, True)  # a word that opens, or the end of the last document
+            for n, known in self.short.items():
+                h = window_hash(value, n)
+                keys = np.sort(np.array(list(known), np.uint64))
+                at = np.flatnonzero(_among(h, keys) & opens[: len(h)] & ends[n : n + len(h)]) if len(h) else []
+                for p in at:
+                    if opens[p + 1 : p + n].any():
+                        continue
+                    for item in known[int(h[p])]:
+                        yield int(np.searchsorted(firsts, p, "right") - 1), item, 1.0
 
     def matches(self, tok: Tokens) -> Iterator[tuple[int, int, float]]:
         n_docs = len(tok.firsts) - 1
@@ -203,7 +253,7 @@ class Index:
             slots = [j for j in range(w) if self.tokens.kind[q + j]]
             found = [((int(self.tokens.kind[q + j]), int(self.tokens.value[q + j])), int(tok.value[p + j])) for j in slots]
             local = dict(bound)
-            if all(local.setdefault(k, v) == v for k, v in found):
+            if all(local.setdefault(k, v) == v and local.setdefault((-k[0], v), k[1]) == k[1] for k, v in found):
                 covered, bound, p_end, q_end = covered + fresh, local, p + w, q + w
         return covered, bound, p_end, q_end
 
@@ -234,8 +284,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
     n_items counts the benchmark(item_id, text) items of which consistent windows cover at least
     `coverage`; item_id is the one covered best (the first in order of ties), coverage its share, or the
-    best share below the limit with a null item_id. Null or empty texts and items, and
-    items with fewer than MIN_TOKENS words, match nothing. Repeated items count once each.
+    best share below the limit with a null item_id. Null or empty texts and items match nothing. Items with fewer
+    than MIN_TOKENS words match a sentence or line that equals them word for word. Repeated items and rows count once each.
     Columns of docs named like the added ones are replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -274,7 +324,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
                         columns["item_id"][d] = item if hit else None
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in added else rows.column(i) for i, f in enumerate(schema)], schema=schema)
 
-        out = out.mapInArrow(lean(scan), out_type)
+        before = out
+        out = before.mapInArrow(lean(scan), out_type)
+        if k < blocks - 1:  # one index at a time, in the driver and in the workers
+            out = materialize(out)
+            shared.destroy()
+            release(before)
     return out
 
 

@@ -107,3 +107,41 @@ def test_slots_have_to_agree_across_an_inserted_word(spark):
     got = found(spark, [(1, same), (2, mixed)], [("q", item)])
     assert got[1]["coverage"] == 1.0
     assert got[2]["coverage"] < 1.0
+
+
+@pytest.mark.parametrize("item, text, hit", [
+    ("What is two plus?", "So it began. What is two plus? Nobody knew.", True), ("What is two plus?", "what is two plus", True), ("What is two plus?", "Say what is two plus and go", False), ("Yes", "yes and no", False),
+    ("A farmer keeps twelve cows and sells seven of them at the market before the cold winter starts", "A farmer keeps ninety cows and sells 31 of them at the market before the cold winter starts", True),
+    ("Alice walks along the quiet river and meets an old friend who carries 5 stones in a small bag", "Gertrude walks along the quiet river and meets an old friend who carries 8 stones in a small bag", True),
+    ("take 10 red stones then take 20 blue stones and put the 10 red and the 20 blue stones away", "take 7 red stones then take 7 blue stones and put the 7 red and the 7 blue stones away", False),
+])
+def test_short_spelled_and_opening(spark, item, text, hit):
+    assert found(spark, [(1, f"{text}\n")], [("q", item)])[1]["contaminated"] == hit
+
+
+def test_items_of_one_template_are_looked_for_once(spark):
+    items = [(f"i{k:03d}", f"a shop sells {k} books for {2 * k + 1} dollars and then {k} pens for less than that on a rainy day in the old town") for k in range(300)]
+    index = dc.Index(items)
+    assert len(index.members) == 1
+    got = found(spark, [(1, items[7][1]), (2, items[7][1].replace("7", "8", 1))], items)
+    assert (got[1]["n_items"], got[1]["item_id"], got[1]["coverage"]) == (300, "i000", 1.0)
+    assert got[2]["coverage"] < 1.0
+
+
+def test_single_shift_equals_brute_force(spark):
+    """Items whose words are changed in place: covered are the tokens of windows without a changed word."""
+    rng = random.Random(9)
+    items = [(f"i{k}", helpers.letters(rng, rng.choice([6, 9, 15, 30]), 10**6)) for k in range(12)]
+    docs, want = [], {}
+    for k in range(80):
+        name, text = rng.choice(items)
+        w = text.split(" ")
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = "changed"
+        docs.append((k, f"{helpers.letters(rng, 12, 10**6)} {' '.join(w)} {helpers.letters(rng, 12, 10**6)}"))
+        old, width = text.split(" "), min(10, len(w))
+        covered = {p + j for p in range(len(w) - width + 1) if w[p : p + width] == old[p : p + width] for j in range(width)}
+        want[k] = len(covered) / len(w)
+    got = found(spark, docs, items)
+    for k in want:
+        assert got[k]["coverage"] == want[k] and got[k]["contaminated"] == (want[k] >= dc.COVERAGE), k
