@@ -33,6 +33,8 @@ PART, WHOLE = 4, 5
 BANDS, ROWS = 20, 3
 #: Fingerprints that differ in more bits are not compared further; sets under SMALL shingles are, as theirs vary more.
 RADIUS, SMALL = 24, 16
+#: Bits of a sketch at most; a smaller one tells long sets apart less well, and loses nothing.
+SKETCH = 1 << 10
 #: A larger block is cut in parts that are joined in pairs.
 BLOCK = 1024
 #: Small blocks are compared together until so many sets are reached.
@@ -42,8 +44,8 @@ _FACTORS = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, dtype=np.ui
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles by their low bits; at least one bit a shingle, 64 or more."""
-    m = 1 << max(6, (len(shingles) - 1).bit_length())
+    """Parity of the shingles by their low bits; one bit a shingle, within 64 and SKETCH bits."""
+    m = min(SKETCH, 1 << max(6, (len(shingles) - 1).bit_length()))
     return np.packbits(np.bincount(shingles & np.uint64(m - 1), minlength=m) & 1, bitorder="little").tobytes()
 
 
@@ -215,11 +217,8 @@ def _rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, root) for every row of docs(doc_id, text): one root for each component of similar documents; mark is xxhash64(text).
-
-    Texts without words are one group. Texts of fewer words than a shingle are one shingle. No rows give no rows.
-    """
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets, roots): sets_of() the documents, written, and (node, root) of the nodes that are similar to another."""
     docs = pick(docs, "doc_id", "text")
     sets = materialize(sets_of(docs))
     whole = sets.where("n is not null")
@@ -234,7 +233,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         pairs = materialize(cut.repartition("s", "k2").sortWithinPartitions("s", "k2", "side").mapInArrow(_candidates(every), "a bigint, b bigint").distinct())
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         # one document for each set that has to be read again
-        named = sets.join(wanted, "node").groupBy("node").agg(F.min(F.struct("mark", "doc_id")).alias("x")).select(F.col("x.doc_id").alias("named_id"), F.col("x.mark").alias("mark")).distinct()
+        one = sets.groupBy("node").agg(F.min(F.struct("mark", "doc_id")).alias("x"))  # of copies only one is joined
+        named = one.join(wanted, "node").select(F.col("x.doc_id").alias("named_id"), F.col("x.mark").alias("mark")).distinct()
         texts = docs.join(named, docs.doc_id.eqNullSafe(named.named_id) & (F.xxhash64(docs.text) == named.mark), "left_semi").select("text")
         own = materialize(texts.mapInArrow(lean(_rehash), "node bigint, shingles binary").dropDuplicates(["node"]))
         both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
@@ -249,7 +249,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     labelled = shared.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     apart = labelled.groupBy("s").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("s")
     rest = labelled.join(apart, "s", "left_semi")
-    roots = connected_components(found.union(links(rest, True)))
+    return sets, connected_components(found.union(links(rest, True)))
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, root) for every row of docs(doc_id, text): one root for each component of similar documents; mark is xxhash64(text).
+
+    Texts without words are one group. Texts of fewer words than a shingle are one shingle. No rows give no rows.
+    """
+    sets, roots = _linked(docs)
     return sets.select("doc_id", "mark", "node").join(roots, "node", "left").select("doc_id", "mark", F.coalesce("root", "node").alias("root"))
 
 
@@ -257,11 +265,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs(doc_id, text, ...) for each group of similar documents: that of the smallest doc_id.
 
     A row without doc_id is kept only where no row of its group has one; of rows that repeat doc_id and text one stays.
+    Copies are put together before anything is joined, so that a frequent text is no hot key.
     """
-    groups = similar_groups(docs)
-    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.mark").alias("kept_mark"))
-    times = groups.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    kept = materialize(kept.distinct())
+    sets, roots = _linked(docs)
+    least = sets.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x"))
+    groups = least.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("x").alias("x"))
+    kept = groups.select(F.col("x.doc_id").alias("kept_id"), F.col("x.mark").alias("kept_mark")).distinct()
+    times = sets.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    kept = materialize(kept)
     text = docs[next(c for c in docs.columns if c == "text")] if docs.columns.count("text") == 1 else F.col("text")
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept.kept_id) & (F.xxhash64(text) == kept.kept_mark), "left_semi")
     again = materialize(times.select(F.col("doc_id").alias("again_id"), F.col("mark").alias("again_mark")))

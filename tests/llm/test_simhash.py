@@ -75,3 +75,21 @@ def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(500, 501), (501, 500), (7, 7), (None, 3)], "u bigint, v bigint")
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {500: 500, 501: 500}
+
+
+def test_the_centre_of_a_star_is_no_hot_key(spark, monkeypatch):
+    from corpusmill.llm import components
+
+    monkeypatch.setattr(components, "LIGHT", 50)
+    monkeypatch.setattr(components, "HEAVY", 20)
+    rng = random.Random(12)
+    edges = [(10**6, k) for k in range(1, 2000)] + [(5, 10**7 + k) for k in range(700)] + [(rng.randrange(2 * 10**7, 2 * 10**7 + 300), rng.randrange(2 * 10**7, 2 * 10**7 + 300)) for _ in range(250)]
+    links = spark.createDataFrame(edges, "u bigint, v bigint")
+    got = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    want = helpers.components(sorted({n for e in edges if e[0] != e[1] for n in e}), edges)
+    assert got == want
+    both = links.unionByName(links.selectExpr("v AS u", "u AS v"))
+    stats = components._minimum(both)
+    plan = components._with_minimum(both, stats, both.count())._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan  # heavy nodes
+    assert stats.where("n > 270").count() <= components.HEAVY
