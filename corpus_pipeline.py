@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, langid, packing, shingles, substring
-from corpusmill.llm.common import materialize, table
+from corpusmill.llm.common import materialize, pick, release, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the language classifier rejects."""
-    found = langid.identify(docs.select(*COLUMNS), langid.fit(docs))
+    found = langid.identify(pick(docs, *COLUMNS), langid.fit(docs))
     return found.where("not rejected").select(*COLUMNS)
 
 
@@ -26,18 +26,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Fingerprints select which documents are compared. A document without doc_id stays only where none of its group has one.
     """
-    return shingles.one_of_each(docs.select(*COLUMNS))
+    return shingles.one_of_each(pick(docs, *COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without passages that occur earlier; documents of which nothing is left go."""
-    cleaned = substring.remove_repeated(docs.select(*COLUMNS)).where("n_removed = 0 or n_removed < n_words")
+    cleaned = substring.remove_repeated(pick(docs, *COLUMNS)).where("n_removed = 0 or n_removed < n_words")
     return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item."""
-    found = decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.decontaminate(pick(docs, *COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.where("not contaminated").select(*COLUMNS)
 
 
@@ -56,14 +56,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; each result but the last is written before the next stage reads it."""
+    """All stages in turn; each result but the last is written before the next stage reads it, and then its predecessor is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: No stage but the second and third could be put in SQL; tests compare run() with a brute-force version.
+#: Stages 1 and 5 can't be put in SQL (a learned model, a tokenizer), so run() has none; tests compare every stage with a version that is independent of it.
 ORACLE_SQL = None
 
 QUERIES = {"pipeline": run}
