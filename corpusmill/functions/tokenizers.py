@@ -68,9 +68,25 @@ class SpaceTokenizer:
         return F.transform(words, lambda w: F.coalesce(F.element_at(known, w), unknown(w)))
 
 
+_LIBRARY: dict[int, object] = {}
+
+
+def _library(definition: str):
+    """The tokenizer of a definition, parsed once in each worker."""
+    from tokenizers import Tokenizer as Library
+
+    key = hash(definition)
+    if key not in _LIBRARY:
+        _LIBRARY.clear()
+        _LIBRARY[key] = Library.from_str(definition)
+    return _LIBRARY[key]
+
+
 class JsonTokenizer:
     """A tokenizer in the JSON format of the tokenizers library, in Arrow batches."""
 
+    _shared = None
+
     def __init__(self, path: str, eos_id: int, bos_id: int | None = None, pad_id: int | None = None) -> None:
         with open(path, encoding="utf-8") as f:
             self.definition = f.read()
@@ -79,12 +95,16 @@ class JsonTokenizer:
         self.bos_id, self.eos_id, self.pad_id, self.vocab_size = bos_id, eos_id, pad_id, max(sizes)
 
     def encode(self, text: Column) -> Column:
-        definition = self.definition
+        from pyspark.sql import SparkSession
 
-        def batch(texts: pd.Series) -> pd.Series:
-            from tokenizers import Tokenizer as Library
+        spark = SparkSession.active()
+        ship(spark)
+        if self._shared is None or self._shared[0] is not spark.sparkContext:
+            self._shared = (spark.sparkContext, spark.sparkContext.broadcast(self.definition))
+        shared = self._shared[1]
 
-            found = Library.from_str(definition).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
+        def batch(texts: pd.Series) -> pd.Series:
+            found = _library(shared.value).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
             return pd.Series([e.ids for e in found])
 
         return F.pandas_udf(batch, "array<int>")(text)

@@ -73,12 +73,12 @@ def prepare_pairs(pairs: DataFrame, options: PrepOptions) -> DataFrame:
     return out.withColumn("prompt", affixed(F.col("prompt"), options.prompt_prefix, options.prompt_postfix))
 
 
-def articles_from_pairs(pairs: DataFrame, tokenizer: Tokenizer, options: PrepOptions, chat: bool = False) -> DataFrame:
+def articles_from_pairs(pairs: DataFrame, tokenizer: Tokenizer, options: PrepOptions, chat: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Articles of pairs(line_no, pair_no, n_pairs, prompt, completion[, category_id]), which are complete lines.
 
     Packing by line makes one article of a line, packing by pair one of each pair. The attention
     boundary is the last token of each pair, or the last one of the line; if pairs are packed and the last pair was
-    skipped, the line has none.
+    skipped, the line has none. keep names columns of the line, like its split, that go along.
     """
     made = with_pair_tokens(pairs if chat else prepare_pairs(pairs, options), tokenizer, chat)
     by_pair = options.packing_boundary == "prompt_completion_pair"
@@ -87,16 +87,16 @@ def articles_from_pairs(pairs: DataFrame, tokenizer: Tokenizer, options: PrepOpt
     elif by_pair:
         made = made.withColumn("tokens", F.when(F.col("pair_no") == F.col("n_pairs") - 1, with_boundary(F.col("tokens"))).otherwise(F.col("tokens")))
     if by_pair:
-        return made.select("line_no", F.col("pair_no").cast("bigint").alias("art_no"), "tokens")
-    listed = made.groupBy("line_no").agg(F.sort_array(F.collect_list(F.struct("pair_no", "tokens"))).alias("t"))
-    return listed.select("line_no", F.lit(0).cast("bigint").alias("art_no"), with_boundary(F.flatten(F.col("t.tokens"))).alias("tokens"))
+        return made.select("line_no", *keep, F.col("pair_no").cast("bigint").alias("art_no"), "tokens")
+    listed = made.groupBy("line_no", *keep).agg(F.sort_array(F.collect_list(F.struct("pair_no", "tokens"))).alias("t"))
+    return listed.select("line_no", *keep, F.lit(0).cast("bigint").alias("art_no"), with_boundary(F.flatten(F.col("t.tokens"))).alias("tokens"))
 
 
-def articles_from_text(lines: DataFrame, tokenizer: Tokenizer, text: str = "value") -> DataFrame:
-    """One article of each line(line_no, value): all completion, separator at the end."""
-    pairs = lines.select("line_no", F.lit("").alias("prompt"), F.coalesce(F.col(text), F.lit("")).alias("completion"), F.lit(NO_CATEGORY).alias("category_id"))
+def articles_from_text(lines: DataFrame, tokenizer: Tokenizer, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One article of each line(line_no, value): all completion, separator at the end. keep names columns that go along."""
+    pairs = lines.select("line_no", *keep, F.lit("").alias("prompt"), F.coalesce(F.col(text), F.lit("")).alias("completion"), F.lit(NO_CATEGORY).alias("category_id"))
     made = with_pair_tokens(pairs, tokenizer)
-    return made.select("line_no", F.lit(0).cast("bigint").alias("art_no"), with_boundary(F.col("tokens")).alias("tokens"))
+    return made.select("line_no", *keep, F.lit(0).cast("bigint").alias("art_no"), with_boundary(F.col("tokens")).alias("tokens"))
 
 
 def flat_tokens(articles: DataFrame, *keys: str) -> DataFrame:

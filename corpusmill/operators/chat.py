@@ -66,7 +66,7 @@ def rendered_chats(pairs: DataFrame, template: ChatTemplate, line: str = "line_n
     return listed.select(line, template.render(F.col("p")).alias("chat"))
 
 
-def templated_pairs(pairs: DataFrame, template: ChatTemplate, line: str = "line_no") -> DataFrame:
+def templated_pairs(pairs: DataFrame, template: ChatTemplate, line: str = "line_no", keep: tuple[str, ...] = ()) -> DataFrame:
     """Pairs with the template's text: (line, pair_no, n_pairs, prompt, completion, category_id).
 
     A pair's completion runs up to the first occurrence of the prefix in the text before the next prompt, and that prompt starts
@@ -80,15 +80,15 @@ def templated_pairs(pairs: DataFrame, template: ChatTemplate, line: str = "line_
     prompt = F.concat(F.lit(template.prefix), F.col("prompt"), F.lit(template.user_close + template.assistant_open))
     if template.repeats:
         tail = F.when(last, F.lit(template.assistant_close)).otherwise(template.between.split(template.prefix)[0])
-        return rows.select(line, F.col("i__").cast("bigint").alias("pair_no"), F.col("n__").alias("n_pairs"), prompt.alias("prompt"), F.concat("completion", tail).alias("completion"), F.lit(NO_CATEGORY).alias("category_id"))
+        return rows.select(line, *keep, F.col("i__").cast("bigint").alias("pair_no"), F.col("n__").alias("n_pairs"), prompt.alias("prompt"), F.concat("completion", tail).alias("completion"), F.lit(NO_CATEGORY).alias("category_id"))
     # state machine of a template that can't be split: after the first answer markup belongs to the completion
     tail = F.when(last, F.lit(template.assistant_close)).otherwise(template.between + template.user_close + template.assistant_open)
     head = F.when(F.col("i__") == 0, prompt).otherwise(F.col("prompt"))
-    parts = rows.select(line, F.struct("i__", head.alias("p"), F.concat("completion", tail).alias("c")).alias("s"))
-    joined = parts.groupBy(line).agg(F.sort_array(F.collect_list("s")).alias("s"))
-    return joined.select(line, F.lit(0).cast("bigint").alias("pair_no"), F.lit(1).cast("bigint").alias("n_pairs"), F.array_join(F.col("s.p"), "").alias("prompt"), F.array_join(F.col("s.c"), "").alias("completion"), F.lit(NO_CATEGORY).alias("category_id"))
+    parts = rows.select(line, *keep, F.struct("i__", head.alias("p"), F.concat("completion", tail).alias("c")).alias("s"))
+    joined = parts.groupBy(line, *keep).agg(F.sort_array(F.collect_list("s")).alias("s"))
+    return joined.select(line, *keep, F.lit(0).cast("bigint").alias("pair_no"), F.lit(1).cast("bigint").alias("n_pairs"), F.array_join(F.col("s.p"), "").alias("prompt"), F.array_join(F.col("s.c"), "").alias("completion"), F.lit(NO_CATEGORY).alias("category_id"))
 
 
-def articles_from_chats(pairs: DataFrame, template: ChatTemplate, tokenizer: Tokenizer, options: PrepOptions) -> DataFrame:
+def articles_from_chats(pairs: DataFrame, template: ChatTemplate, tokenizer: Tokenizer, options: PrepOptions, keep: tuple[str, ...] = ()) -> DataFrame:
     """Articles of pairs(line_no, pair_no, prompt, completion) in the template's form."""
-    return articles_from_pairs(templated_pairs(pairs, template), tokenizer, options, chat=True)
+    return articles_from_pairs(templated_pairs(pairs, template, keep=keep), tokenizer, options, chat=True, keep=keep)

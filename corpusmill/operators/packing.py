@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.config import COMPLETION, NO_CATEGORY, PADDING, PackingConfig
+from corpusmill.functions.indexing import with_running_total
 from corpusmill.functions.shipping import ship
 
 
@@ -27,11 +28,17 @@ def truncated(tokens: Column, length: int, overflow: str) -> Column:
     return F.when(F.size(tokens) <= length, tokens).otherwise(kept)
 
 
+_KEY = ["split_idx", "line_no", "art_no"]
+
+
 def pack_full(articles: DataFrame, length: int, pad_id: int) -> DataFrame:
-    """All tokens of a split in one stream, cut every length tokens."""
+    """All tokens of a split in one stream, cut every length tokens.
+
+    Only keys and lengths are sorted; tokens go straight to their sequences. articles is read twice: pass a written table.
+    """
     rows = articles.where(F.size("tokens") > 0).withColumn("n", F.size("tokens").cast("bigint"))
-    order = Window.partitionBy("split_idx").orderBy("line_no", "art_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("end", F.sum("n").over(order)).withColumn("start", F.col("end") - F.col("n"))
+    starts = with_running_total(rows.select(*_KEY, "n"), *_KEY, size="n", name="start")
+    rows = rows.drop("n").join(starts, _KEY).withColumn("end", F.col("start") + F.col("n"))
     rows = rows.withColumn("seq", F.explode(F.sequence(F.expr(f"start div {length}"), F.expr(f"(end - 1) div {length}"))))
     first = F.greatest(F.col("seq") * length - F.col("start"), F.lit(0))
     size = F.least((F.col("seq") + 1) * length - F.col("start"), F.col("n")) - first
@@ -45,10 +52,10 @@ def _assembled(pieces: DataFrame, length: int, pad_id: int) -> DataFrame:
 
 
 def pack_single(articles: DataFrame, length: int, pad_id: int, overflow: str) -> DataFrame:
-    """One article in each sequence."""
+    """One article in each sequence. Only keys are sorted; articles is read twice: pass a written table."""
     rows = articles.where(F.size("tokens") > 0).withColumn("tokens", truncated(F.col("tokens"), length, overflow)).where("tokens is not null")
-    number = F.row_number().over(Window.partitionBy("split_idx").orderBy("line_no", "art_no")) - 1
-    return rows.select("split_idx", number.cast("bigint").alias("seq"), padded(F.col("tokens"), length, pad_id).alias("tokens"))
+    numbers = with_running_total(rows.select(*_KEY, F.lit(1).cast("bigint").alias("one")), *_KEY, size="one", name="seq")
+    return rows.join(numbers, _KEY).select("split_idx", "seq", padded(F.col("tokens"), length, pad_id).alias("tokens"))
 
 
 def greedy_assignment(articles: DataFrame, length: int, overflow: str) -> DataFrame:

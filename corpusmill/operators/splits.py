@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.indexing import with_row_index
+from corpusmill.functions.indexing import with_row_index, with_running_total
 from corpusmill.functions.planning import SplitCounts
 
 
@@ -33,9 +33,10 @@ def shuffled_splits(lines: DataFrame, splits: int, order: str = "line_no", seed:
 
 def bucket_shuffle(lines: DataFrame, buckets: int, order: str = "line_no", seed: int = 0) -> DataFrame:
     """Approximate shuffle: lines are dealt round robin to buckets, each bucket is shuffled; adds split_idx and pos."""
-    dealt = round_robin(lines, buckets, order)
-    place = F.row_number().over(Window.partitionBy("split_idx").orderBy(shuffle_key(order, seed), order)) - 1
-    return dealt.withColumn("pos", place.cast("bigint"))
+    dealt = with_row_index(lines, order, name="row__").withColumn("split_idx", F.pmod(F.col("row__"), F.lit(buckets)).cast("bigint"))
+    keys = dealt.select("split_idx", shuffle_key(order, seed).alias("key__"), F.col(order).alias("order__"), "row__", F.lit(1).cast("bigint").alias("one__"))
+    places = with_running_total(keys, "split_idx", "key__", "order__", "row__", size="one__", name="pos")
+    return dealt.join(places.select("row__", "pos"), "row__").drop("row__")
 
 
 def dataset_type(split_idx: Column, counts: SplitCounts) -> Column:

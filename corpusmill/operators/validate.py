@@ -30,8 +30,8 @@ def _rules() -> list[tuple[str, Column, str]]:
 
 
 def violations(metadata: DataFrame, contexts: DataFrame, dataset: str = "dataset", context: str = "context") -> DataFrame:
-    """(dataset, context, field, message) for every broken rule, for each dataset and context given; both are small."""
+    """(dataset, context, field, message) for every broken rule, for each dataset and context given. Every dataset is held against every context, of which there are a handful each."""
     left = metadata.select(*[F.col(c).alias(c if c == dataset else f"m_{c}") for c in metadata.columns])
     right = contexts.select(*[F.col(c).alias(c if c == context else f"r_{c}") for c in contexts.columns])
     found = F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(message).alias("message"))) for field, broken, message in _rules()])
-    return left.join(right).select(dataset, context, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select(dataset, context, "x.field", "x.message")
+    return left.crossJoin(right).select(dataset, context, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select(dataset, context, "x.field", "x.message")

@@ -34,21 +34,21 @@ def prepare(lines: DataFrame, kind: str, tokenizer: Tokenizer, options: PrepOpti
 
     Splits are packed each on its own.
     """
-    where = lines.select("line_no", "split_idx")
+    keep = ("split_idx",)
     if kind == "jsonl":
         parsed = written(src.parse_lines(lines, options.completion_keyword))
         rejects = src.rejects(parsed)
         good = src.accepted(parsed) if options.ignore_format_errors else src.require_wellformed(parsed)
-        pairs = src.pairs_of(good, options.prompt_keyword, options.completion_keyword)
+        pairs = src.pairs_of(good, options.prompt_keyword, options.completion_keyword, keep=keep)
         if template is not None:
-            articles = articles_from_chats(pairs, template, tokenizer, options)
+            articles = articles_from_chats(pairs, template, tokenizer, options, keep)
         else:
             pairs = src.with_no_category(pairs) if categories is None else with_category_ids(pairs, categories)
-            articles = articles_from_pairs(pairs, tokenizer, options)
+            articles = articles_from_pairs(pairs, tokenizer, options, keep=keep)
     else:
         rejects = lines.where("false")
-        articles = articles_from_text(lines, tokenizer)
-    articles = written(articles.join(where, "line_no"))
+        articles = articles_from_text(lines, tokenizer, keep=keep)
+    articles = written(articles)
     packed = written(packing.pack(articles, options.packing, options.max_seq_length, padding_id(tokenizer)))
     labels = lines.select("split_idx", "dataset_type", "shard_no").distinct()
     packed = packed.join(labels, "split_idx")

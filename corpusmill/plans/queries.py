@@ -47,7 +47,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _document_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of all documents, dealt to SPLITS splits."""
     dealt = splits.round_robin(_documents(spark, sf_dir), SPLITS)
-    return art.articles_from_text(dealt, TOKENIZER).join(dealt.select("line_no", "split_idx"), "line_no")
+    return art.articles_from_text(dealt, TOKENIZER, keep=("split_idx",))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +135,7 @@ ends AS (SELECT split_idx, max(p) + 1 AS n FROM placed GROUP BY 1)
 SELECT split_idx::BIGINT AS split_idx, (p // {DOC_LENGTH})::BIGINT AS seq, (p % {DOC_LENGTH})::BIGINT AS pos, token_id, type_id::BIGINT AS type_id FROM placed
 UNION ALL SELECT split_idx, n // {DOC_LENGTH}, i, {PAD}, 2 FROM (SELECT *, unnest(range(n % {DOC_LENGTH}, {DOC_LENGTH})) AS i FROM ends WHERE n % {DOC_LENGTH} > 0)""")
 def pack_full(spark, sf_dir):
-    return _flat(packing.pack_full(_document_articles(spark, sf_dir), DOC_LENGTH, PAD), "split_idx", "seq")
+    return _flat(packing.pack_full(written(_document_articles(spark, sf_dir)), DOC_LENGTH, PAD), "split_idx", "seq")
 
 
 def _single(overflow: str):
@@ -149,7 +149,7 @@ UNION ALL SELECT split_idx, seq, i, {PAD}, 2 FROM (SELECT *, unnest(range(n, {DO
 
     @query(f"pack_single_{overflow}", sql)
     def run(spark, sf_dir):
-        return _flat(packing.pack_single(_document_articles(spark, sf_dir), DOC_LENGTH, PAD, overflow), "split_idx", "seq")
+        return _flat(packing.pack_single(written(_document_articles(spark, sf_dir)), DOC_LENGTH, PAD, overflow), "split_idx", "seq")
 
 
 def _greedy_sql(overflow: str) -> str:
