@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
+import datetime
+import importlib.metadata
 import json
 import logging
+import platform
+import subprocess
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.config import BOUNDARIES, PackingConfig, PrepOptions
-from corpusmill.functions.tokenizers import JsonTokenizer, WordHashTokenizer
+from corpusmill.functions.tokenizers import JsonTokenizer, WordHashTokenizer, parse_special_tokens
 from corpusmill.operators import balance, chat, metrics
 from corpusmill.plans import dataset
 from corpusmill.sources import lines, outputs
@@ -26,7 +32,10 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--input_path", "--input_file_path", required=True)
         p.add_argument("--output_path", required=True)
         p.add_argument("--overwrite_output_path", action="store_true")
-        p.add_argument("--tokenizer_json", help="a tokenizer in the tokenizers library's JSON format; words by hash without it")
+        p.add_argument("--tokenizer_json", "--pretrained_tokenizer", help="a tokenizer in the tokenizers library's JSON format, as a file or a folder; words by hash without it")
+        p.add_argument("--special_tokens_dict", help="JSON object of special tokens by role, like eos_token")
+        p.add_argument("--num_workers", type=int, help="partitions of shuffles; Spark's setting without it")
+        p.add_argument("--log_file_path", help="where the run's log goes; logs.txt in the output without it")
         p.add_argument("--eos_token_id", type=int)
         p.add_argument("--max_seq_length", type=int, default=2048)
         p.add_argument("--input_packing_config", choices=PackingConfig.names(), default="full")
@@ -38,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--prompt_postfix", default="")
         p.add_argument("--disable_space_separator", action="store_true")
         p.add_argument("--keep_prompt_only_sequences", action="store_true")
+        p.add_argument("--keep_empty_completions", action="store_true")
         p.add_argument("--ignore_input_format_error", action="store_true")
         p.add_argument("--categories_path")
         p.add_argument("--chat_template", help="JSON object with the template's texts")
@@ -50,7 +60,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--dev_ratio", type=float)
             p.add_argument("--test_ratio", type=float)
             p.add_argument("--keep_split_jsonls", action="store_true")
-            p.add_argument("--do_not_balance", action="store_true")
+            p.add_argument("--do_not_balance", "--do_not_balance_hdf5", action="store_true")
     for name, texts in (("decode", ("input_path", "output_path")), ("balance", ("input_path", "output_path")), ("describe", ("input_path",)), ("convert_chat", ("input_path", "output_path")), ("check", ("input_path",))):
         p = sub.add_parser(name)
         for t in texts:
@@ -61,24 +71,47 @@ def parser() -> argparse.ArgumentParser:
 def _options(args: argparse.Namespace) -> PrepOptions:
     return PrepOptions(
         args.max_seq_length, PackingConfig.parse(args.input_packing_config), args.packing_boundary, args.attention_boundary, args.prompt_keyword, args.completion_keyword, args.prompt_prefix,
-        args.prompt_postfix, not args.disable_space_separator, args.keep_prompt_only_sequences, ignore_format_errors=args.ignore_input_format_error,
+        args.prompt_postfix, not args.disable_space_separator, args.keep_prompt_only_sequences, args.keep_empty_completions, ignore_format_errors=args.ignore_input_format_error,
     )
 
 
+def run_log(args: argparse.Namespace, found: dict) -> list[str]:
+    """What ran, when and on what, what it made, and what a training run has to keep to."""
+    out = [f"{datetime.datetime.now(datetime.timezone.utc):%Y-%m-%d %H:%M:%S} UTC, python {platform.python_version()}"]
+    for name in ("pyspark", "pyarrow", "pandas", "numpy", "tokenizers"):
+        with contextlib.suppress(importlib.metadata.PackageNotFoundError):
+            out.append(f"{name} {importlib.metadata.version(name)}")
+    with contextlib.suppress(OSError, subprocess.CalledProcessError):
+        commit = subprocess.run(["git", "rev-parse", "HEAD"], cwd=Path(__file__).parent, capture_output=True, text=True, check=True)
+        out.append(f"commit {commit.stdout.strip()}")
+    out += [f"argument {k} {v}" for k, v in sorted(vars(args).items())]
+    out += [f"{k:<40} {v}" for k, v in found.items()]
+    if found.get("max_batch_size_train") is not None:
+        out.append(f"train with at most {found.get('number_of_training_files')} workers and a batch of at most {found['max_batch_size_train']} sequences for each")
+    if found.get("max_batch_size_dev") is not None:
+        out.append(f"evaluate with a batch of at most {found['max_batch_size_dev']} sequences for each worker")
+    return out
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     logging.basicConfig(level=logging.WARNING if getattr(args, "silent", False) else logging.INFO)
     spark = SparkSession.builder.appName("corpusmill").getOrCreate()
     if args.command in ("pipeline", "data_prep"):
-        tokenizer = JsonTokenizer(args.tokenizer_json, args.eos_token_id) if args.tokenizer_json else WordHashTokenizer()
+        if args.num_workers:
+            spark.conf.set("spark.sql.shuffle.partitions", str(args.num_workers))
+        special = parse_special_tokens(args.special_tokens_dict)
+        tokenizer = JsonTokenizer(args.tokenizer_json, args.eos_token_id, special_tokens=special) if args.tokenizer_json else WordHashTokenizer()
         template = chat.ChatTemplate(**json.loads(args.chat_template)) if args.chat_template else None
         shared = {"category_path": args.categories_path, "template": template, "overwrite": args.overwrite_output_path}
         if args.command == "data_prep":
             found = dataset.prepare_file(spark, args.input_path, args.output_path, tokenizer, _options(args), **shared)
         else:
             found = dataset.run_pipeline(spark, args.input_path, args.output_path, tokenizer, _options(args), train=args.train, dev=args.dev, test=args.test, dev_ratio=args.dev_ratio, test_ratio=args.test_ratio, shuffle=args.shuffle, seed=args.seed, keep_raw_splits=args.keep_split_jsonls, rebalance=not args.do_not_balance, **shared)
-        for k, v in found.items():
-            log.info("%-40s %s", k, v)
+        report = run_log(args, found)
+        for line in report:
+            log.info("%s", line)
+        outputs.write_text(spark, args.log_file_path or f"{args.output_path}/logs.txt", "\n".join(report) + "\n")
     elif args.command == "check":
         bad = outputs.manifest_violations(spark, args.input_path).collect()
         for row in bad:

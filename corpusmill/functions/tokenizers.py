@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -68,6 +69,34 @@ class SpaceTokenizer:
         return F.transform(words, lambda w: F.coalesce(F.element_at(known, w), unknown(w)))
 
 
+def parse_special_tokens(text: str | None) -> dict[str, str]:
+    """A JSON object of roles and tokens; single quotes may stand for double ones."""
+    if not text:
+        return {}
+    try:
+        found = json.loads(text)
+    except json.JSONDecodeError:
+        found = json.loads(text.replace("'", '"'))
+    if not isinstance(found, dict) or not all(isinstance(v, str) for v in found.values()):
+        raise ValueError("special tokens have to be a JSON object of names and tokens")
+    return found
+
+
+def folder_roles(folder: str) -> dict[str, str]:
+    """The special tokens by role that a tokenizer's folder names."""
+    out: dict[str, str] = {}
+    for name in ("tokenizer_config.json", "special_tokens_map.json"):
+        path = os.path.join(folder, name)
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                found = json.load(f)
+            for role, token in found.items():
+                text = token.get("content") if isinstance(token, dict) else token
+                if role in ("bos_token", "eos_token", "pad_token", "unk_token", "sep_token", "cls_token", "mask_token") and isinstance(text, str):
+                    out[role] = text
+    return out
+
+
 _LIBRARY: dict[int, object] = {}
 
 
@@ -87,13 +116,35 @@ class JsonTokenizer:
 
     _shared = None
 
-    def __init__(self, path: str, eos_id: int, bos_id: int | None = None, pad_id: int | None = None) -> None:
-        with open(path, encoding="utf-8") as f:
-            self.definition = f.read()
-        spec = json.loads(self.definition)
+    def __init__(self, path: str, eos_id: int | None, bos_id: int | None = None, pad_id: int | None = None, special_tokens: dict[str, str] | None = None) -> None:
+        """path: a JSON file, or a folder with tokenizer.json and maybe special_tokens_map.json and tokenizer_config.json.
+
+        special_tokens names tokens by role, like {"pad_token": "<pad>"}; it goes before the folder's. Tokens that the
+        tokenizer lacks are added with new ids. Ids that are given go before roles.
+        """
+        folder = path if os.path.isdir(path) else None
+        with open(os.path.join(path, "tokenizer.json") if folder else path, encoding="utf-8") as f:
+            spec = json.load(f)
+        roles = (folder_roles(folder) if folder else {}) | (special_tokens or {})
+        known = dict(spec["model"].get("vocab", {})) if isinstance(spec["model"].get("vocab", {}), dict) else {}
+        known |= {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        for token in roles.values():
+            if token not in known:
+                known[token] = max(known.values(), default=-1) + 1
+                spec.setdefault("added_tokens", []).append({"id": known[token], "content": token, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+        ids = {role: known[token] for role, token in roles.items()}
+        eos_id, bos_id, pad_id = (given if given is not None else ids.get(f"{name}_token") for given, name in ((eos_id, "eos"), (bos_id, "bos"), (pad_id, "pad")))
+        if eos_id is None:
+            raise ValueError("the tokenizer names no end token; give eos_id or an eos_token")
+        self.roles, self.definition = roles, json.dumps(spec, ensure_ascii=False)
         sizes = [len(spec["model"].get("vocab", {})), *(t["id"] + 1 for t in spec.get("added_tokens", []))]
         self.bos_id, self.eos_id, self.pad_id, self.vocab_size = bos_id, eos_id, pad_id, max(sizes)
 
+    def files(self) -> dict[str, str]:
+        """Name and text of the files that this tokenizer can be loaded from again."""
+        ids = {"eos_token_id": self.eos_id, "bos_token_id": self.bos_id, "pad_token_id": self.pad_id}
+        return {"tokenizer.json": self.definition, "special_tokens_map.json": json.dumps(self.roles, ensure_ascii=False), "tokenizer_config.json": json.dumps({k: v for k, v in ids.items() if v is not None})}
+
     def encode(self, text: Column) -> Column:
         from pyspark.sql import SparkSession
 

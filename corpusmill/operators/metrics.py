@@ -79,6 +79,20 @@ def estimated_article_count(lines: DataFrame, shard: str, sampled: int = 5) -> D
     return first.crossJoin(sizes.agg(F.count(F.lit(1)).alias("shards"))).select(F.round(F.col("mean") * F.col("shards")).cast("bigint").alias("articles"))  # two single rows
 
 
+def audit_state(expected: Column, missing: Column) -> Column:
+    """complete, nearly complete (within 0.1 %) or incomplete."""
+    share = F.abs(F.try_divide(missing.cast("double"), expected.cast("double")))
+    return F.when(missing == 0, "complete").when(F.coalesce(share, F.lit(0.0)) <= 0.001, "nearly complete").otherwise("incomplete")
+
+
+def utilization_by(lines: DataFrame, skipped: DataFrame, articles: DataFrame, by: str = "dataset_type") -> DataFrame:
+    """(by, expected, processed, missing, state): lines without those skipped, against lines of which there is an article. Lines have one line_no each."""
+    counted = lines.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    out = counted.join(skipped.groupBy(by).agg(F.count(F.lit(1)).alias("s")), by, "left").join(articles.groupBy(by).agg(F.countDistinct("line_no").alias("p")), by, "left")
+    out = out.select(by, (F.col("n") - F.coalesce("s", F.lit(0))).alias("expected"), F.coalesce("p", F.lit(0)).alias("processed")).withColumn("missing", F.col("expected") - F.col("processed"))
+    return out.withColumn("state", audit_state(F.col("expected"), F.col("missing")))
+
+
 def utilization_audit(counted: int, skipped: int, processed: int) -> dict:
     """How many of the articles that should have been processed were: complete, nearly (within 0.1 %) or incomplete."""
     expected = counted - skipped

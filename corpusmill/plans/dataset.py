@@ -61,9 +61,11 @@ def run_pipeline(spark: SparkSession, input_path: str, output_path: str, tokeniz
     """Read, shuffle, split, tokenize, pack, balance and write; returns the metadata.
 
     output_path gets packed/ (Parquet by dataset type and shard), test_files/ (raw test splits), splits/ (with
-    keep_raw_splits), rejects/, metadata.yaml, category_to_id.json and sha256/.
+    keep_raw_splits), rejects/, tokenizer/ (of tokenizers with files), metadata.yaml, category_to_id.json and sha256/.
     """
+    outputs.require_input(spark, input_path)
     outputs.prepare_output(spark, output_path, overwrite)
+    outputs.write_tokenizer(spark, f"{output_path}/tokenizer", tokenizer)
     kind = src.input_kind(spark, input_path)
     raw = src.read_lines(spark, input_path)
     size = raw.agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0))).first()[0]
@@ -111,7 +113,9 @@ def dataset_metadata(spark: SparkSession, made: Prepared, packed_path: str, coun
 
 def prepare_file(spark: SparkSession, input_path: str, output_path: str, tokenizer: Tokenizer, options: PrepOptions, category_path: str | None = None, template: ChatTemplate | None = None, overwrite: bool = False) -> dict:
     """One input as one split in its own order, without shuffling or balancing; returns its metrics."""
+    outputs.require_input(spark, input_path)
     outputs.prepare_output(spark, output_path, overwrite)
+    outputs.write_tokenizer(spark, f"{output_path}/tokenizer", tokenizer)
     lines = src.read_lines(spark, input_path).withColumns({"split_idx": F.lit(0).cast("bigint"), "dataset_type": F.lit("train"), "shard_no": F.lit(1)})
     splits.require_lines(lines, 0)
     categories = src.read_categories(spark, category_path) if category_path else None

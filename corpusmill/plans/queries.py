@@ -441,11 +441,58 @@ def file_manifest(spark, sf_dir):
     return outputs.manifest(spark, sf_dir)
 
 
-@query("utilization_audit", _METRICS + """ SELECT dataset_type, articles AS expected, articles AS processed, 0::BIGINT AS missing, 'complete' AS state FROM m""")
+@query("utilization_audit", f"""WITH {_PAIRS}, short AS (SELECT * FROM pairs WHERE completion <> '' AND length(completion) < 120), {_pair_tokens("short")}, {_LABELS},
+wanted AS (SELECT dataset_type, count(*) AS n FROM labelled GROUP BY 1), done AS (SELECT dataset_type, count(DISTINCT line_no) AS p FROM labelled JOIN (SELECT DISTINCT line_no FROM pair_tokens) USING (line_no) GROUP BY 1),
+skipped AS (SELECT dataset_type, count(*) AS s FROM labelled WHERE line_no NOT IN (SELECT line_no FROM pairs WHERE completion <> '') GROUP BY 1),
+x AS (SELECT dataset_type, n - coalesce(s, 0) AS expected, coalesce(p, 0) AS processed FROM wanted LEFT JOIN done USING (dataset_type) LEFT JOIN skipped USING (dataset_type))
+SELECT dataset_type, expected, processed, expected - processed AS missing, CASE WHEN expected = processed THEN 'complete' WHEN abs(expected - processed) <= 0.001 * expected THEN 'nearly complete' ELSE 'incomplete' END AS state FROM x""")
 def utilization_audit(spark, sf_dir):
-    lines, made, _ = _pair_sequences(spark, sf_dir)
-    done = made.groupBy("dataset_type").agg(F.countDistinct("line_no").alias("processed"))
-    counted = lines.groupBy("dataset_type").agg(F.count(F.lit(1)).alias("expected")).join(done, "dataset_type", "left")
-    missing = F.col("expected") - F.coalesce("processed", F.lit(0))
-    state = F.when(missing == 0, "complete").when(F.abs(missing / F.col("expected")) <= 0.001, "nearly complete").otherwise("incomplete")
-    return counted.select("dataset_type", "expected", F.coalesce("processed", F.lit(0)).alias("processed"), missing.alias("missing"), state.alias("state"))
+    """Lines of which only short completions are made to articles, so that some go missing."""
+    lines = written(_labelled(spark, sf_dir))
+    pairs = _pairs(spark, sf_dir)
+    skipped = lines.join(pairs.where("completion <> ''").select("line_no"), "line_no", "left_anti")
+    made = art.articles_from_pairs(pairs.where("length(completion) < 120"), TOKENIZER, PrepOptions())
+    return metrics.utilization_by(lines, skipped, made.select("line_no").join(lines, "line_no"))
+
+
+def _dropped(style: str, overflow: str):
+    lost = {"drop": "n", "truncate_left": f"n - {DOC_LENGTH}", "truncate_right": f"n - {DOC_LENGTH}"}[overflow]
+    sql = f"""WITH {_DOC_TOKENS}, sizes AS (SELECT split_idx, line_no, max(n) AS n FROM doc_tokens JOIN dealt USING (line_no) GROUP BY 1, 2)
+SELECT split_idx::BIGINT AS split_idx, sum(n)::BIGINT AS input_tokens, sum(CASE WHEN n > {DOC_LENGTH} THEN {lost} ELSE 0 END)::BIGINT AS tokens_dropped_from_packing FROM sizes GROUP BY 1"""
+
+    @query(f"dropped_tokens_{style}_{overflow}", sql)
+    def run(spark, sf_dir):
+        found = metrics.article_metrics(_document_articles(spark, sf_dir), PackingConfig(style, overflow), DOC_LENGTH, by="split_idx")
+        return found.where("input_tokens > 0")
+
+
+_dropped("single", "drop")
+_dropped("greedy", "truncate_right")
+
+
+@query("padding_by_sequence", f"""WITH {_DOC_TOKENS}, sizes AS (SELECT split_idx, sum(n) AS n FROM (SELECT split_idx, line_no, max(n) AS n FROM doc_tokens JOIN dealt USING (line_no) GROUP BY 1, 2) GROUP BY 1)
+SELECT split_idx::BIGINT AS split_idx, ceil(n / {DOC_LENGTH})::BIGINT AS sequences, (ceil(n / {DOC_LENGTH}) * {DOC_LENGTH} - n)::BIGINT AS padding FROM sizes""")
+def padding_by_sequence(spark, sf_dir):
+    """Sequences of each split, and their padding, which carries the padding token."""
+    packed = packing.pack_full(written(_document_articles(spark, sf_dir)), DOC_LENGTH, PAD)
+    own = F.size(F.filter("tokens", lambda t: (t.token_type == 2) & (t.token_id == PAD)))
+    return packed.groupBy("split_idx").agg(F.count(F.lit(1)).alias("sequences"), F.sum(own).cast("bigint").alias("padding"))
+
+
+@query("category_strict", "SELECT doc_id, (right(source, 1))::INT AS category_id FROM documents WHERE regexp_matches(source, '^src[0-9]$')")
+def category_strict(spark, sf_dir):
+    """Categories that are all known; an unknown one would fail the query."""
+    known = src.category_ids(spark.range(1).select(F.array(*[F.lit(f"src{i}") for i in range(10)]).alias("names")))
+    docs = _table(spark, sf_dir, "documents").where("source rlike '^src[0-9]$'").select("doc_id", F.col("source").alias("category"))
+    return art.with_category_ids(docs, known).select("doc_id", "category_id")
+
+
+_PLAIN = chat.ChatTemplate("<s>", "be kind ", "<|user|> ", " <|end|> ", "<|assistant|> ", " <|end|> ")
+
+
+@query("chat_template_once", f"""WITH {_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY line_no ORDER BY pair_no) AS i FROM pairs)
+SELECT line_no AS conv_id, string_agg(CASE WHEN i = 1 THEN '<s>be kind <|user|> ' || prompt || ' <|end|> <|assistant|> ' ELSE prompt END, '' ORDER BY i) AS prompt,
+string_agg(completion || CASE WHEN i = n_pairs THEN ' <|end|> ' ELSE ' <|end|> <|user|>  <|end|> <|assistant|> ' END, '' ORDER BY i) AS completion FROM o GROUP BY 1""")
+def chat_template_once(spark, sf_dir):
+    """A template that doesn't repeat what stands before the first prompt: a chat is one pair."""
+    return chat.templated_pairs(_pairs(spark, sf_dir), _PLAIN).select(F.col("line_no").alias("conv_id"), "prompt", "completion")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,28 @@ def prepare_output(spark: SparkSession, path: str, overwrite: bool) -> None:
         for status in fs.listStatus(jpath):
             if "cache" not in status.getPath().getName():
                 fs.delete(status.getPath(), True)
-    fs.mkdirs(jpath)
+    if not fs.mkdirs(jpath):
+        raise PermissionError(f"{path} can't be made")
+    probe = spark._jvm.org.apache.hadoop.fs.Path(jpath, f".probe-{uuid.uuid4().hex}")
+    fs.create(probe, True).close()  # fails where the folder isn't writable
+    fs.delete(probe, False)
+
+
+def require_input(spark: SparkSession, path: str) -> None:
+    """FileNotFoundError if there is no such input; an unreadable one fails here, before anything is written."""
+    fs, jpath = _path(spark, path)
+    if not fs.exists(jpath):
+        raise FileNotFoundError(f"{path} does not exist")
+    if fs.getFileStatus(jpath).isFile():
+        fs.open(jpath).close()
+    else:
+        fs.listStatus(jpath)
+
+
+def write_tokenizer(spark: SparkSession, folder: str, tokenizer) -> None:
+    """The files of a tokenizer that has some, so that the dataset can be decoded without the place it came from."""
+    for name, text in getattr(tokenizer, "files", dict)().items():
+        write_text(spark, f"{folder}/{name}", text)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -50,11 +72,16 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+#: Size of packed files before compression.
+FILE_BYTES = 128 << 20
+
+
 def write_packed(matrix: DataFrame, path: str, length: int) -> None:
-    """matrix(dataset_type, shard_no, seq, input_ids, token_type_ids[, category_ids]) as Parquet, one folder per shard. A row of other length fails the job."""
+    """matrix(dataset_type, shard_no, seq, input_ids, token_type_ids[, category_ids]) as Parquet, one folder per shard, with files of about FILE_BYTES, each by one task. A row of other length fails the job."""
     wrong = F.raise_error(F.concat(F.lit("sequence of length "), F.size("input_ids").cast("string"))).cast("array<int>")
     checked = matrix.withColumn("input_ids", F.when(F.size("input_ids") == length, F.col("input_ids")).otherwise(wrong))
-    by_shard = checked.repartition("dataset_type", "shard_no").sortWithinPartitions("dataset_type", "shard_no", "seq")
+    part = F.expr(f"seq div {max(1, FILE_BYTES // (8 * length))}")
+    by_shard = checked.repartition("dataset_type", "shard_no", part).sortWithinPartitions("dataset_type", "shard_no", "seq")
     by_shard.write.option("compression", "zstd").partitionBy("dataset_type", "shard_no").parquet(path)
 
 
@@ -107,8 +134,8 @@ def write_hdf5(matrix: DataFrame, folder: str, chunk_bytes: int = 1 << 20) -> Da
 
 
 def write_raw_splits(labelled: DataFrame, path: str) -> None:
-    """The lines of labelled(split_name, value, line_no) as text, one folder per split."""
-    labelled.repartition("split_name").sortWithinPartitions("split_name", "line_no").select("split_name", "value").write.partitionBy("split_name").text(path)
+    """The lines of labelled(split_name, value, line_no) as text, one folder per split; its files follow each other in the order of their names."""
+    labelled.repartitionByRange("split_name", "line_no").sortWithinPartitions("split_name", "line_no").select("split_name", "value").write.partitionBy("split_name").text(path)
 
 
 def write_rejects(bad: DataFrame, path: str) -> None:
@@ -128,12 +155,37 @@ def write_categories(spark: SparkSession, path: str, categories: DataFrame) -> N
     write_text(spark, path, json.dumps({r["category"]: r["category_id"] for r in categories.orderBy("category_id").collect()}))
 
 
+#: Largest file that is hashed in one piece.
+HASHED_WHOLE = 256 << 20
+
+
+def stream_sha256(spark: SparkSession, path: str, piece: int = 8 << 20) -> str:
+    """SHA-256 of a file of any size, read in pieces."""
+    fs, jpath = _path(spark, path)
+    stream, found = fs.open(jpath), hashlib.sha256()
+    try:
+        while part := bytes(stream.readNBytes(piece)):
+            found.update(part)
+    finally:
+        stream.close()
+    return found.hexdigest()
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, sha256, size, modified_time) of every file below a folder but those of the manifest itself and logs."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    """(name, sha256, size, modified_time) of every file below a folder but those of the manifest itself and logs.
+
+    Files of HASHED_WHOLE bytes and less are hashed by Spark, each in a task's memory. Larger ones are read
+    piece by piece on the driver through the file system: a task has no file system of Hadoop's at hand in Python.
+    """
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    large = [r["path"] for r in every.where(F.col("length") > HASHED_WHOLE).select("path").collect()]
+    known = F.create_map(*[F.lit(x) for p in large for x in (p, stream_sha256(spark, p))]) if large else None
+    files = every.where(F.col("length") <= HASHED_WHOLE).withColumn("sha256", F.sha2("content", 256)).drop("content")
+    if known is not None:
+        files = files.unionByName(every.where(F.col("length") > HASHED_WHOLE).drop("content").withColumn("sha256", F.element_at(known, F.col("path"))))
     root = _path(spark, folder)[1].makeQualified(_path(spark, folder)[0].getUri(), _path(spark, folder)[0].getWorkingDirectory()).toString()
     name = F.expr(f"substring(path, {len(root) + 2})")
-    rows = files.select(F.regexp_replace(name, "/", "_").alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified_time"))
+    rows = files.select(F.regexp_replace(name, "/", "_").alias("name"), "sha256", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified_time"))
     return rows.where("not startswith(name, 'sha256_') and not contains(name, 'logs')")
 
 

@@ -242,3 +242,59 @@ def test_datasets_without_sequences(spark, tmp_path):
     found = dataset.run_pipeline(spark, path, out, WordHashTokenizer(), PrepOptions(max_seq_length=2, packing=PackingConfig.parse("single::drop")), train=2, dev=0, test=0)
     assert found["train_sequences"] == 0 and found["train_tokens_dropped_from_packing"] == found["train_input_tokens"] > 0
     assert outputs.read_packed(spark, f"{out}/packed").collect() == []
+
+
+def test_tokenizer_folders_and_special_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from corpusmill.functions.tokenizers import parse_special_tokens
+
+    made = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 1, "b": 2, "</s>": 3}, unk_token="[UNK]"))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    folder = tmp_path / "tok"
+    folder.mkdir()
+    made.save(str(folder / "tokenizer.json"))
+    (folder / "special_tokens_map.json").write_text('{"eos_token": {"content": "</s>"}}')
+    assert parse_special_tokens("{'pad_token': '<pad>'}") == {"pad_token": "<pad>"}
+    found = JsonTokenizer(str(folder), None, special_tokens={"pad_token": "<pad>"})
+    assert (found.eos_id, found.pad_id, found.bos_id, found.vocab_size) == (3, 4, None, 5)
+    outputs.write_tokenizer(spark, str(tmp_path / "saved"), found)
+    again = JsonTokenizer(str(tmp_path / "saved"), None)
+    assert (again.eos_id, again.pad_id, again.vocab_size) == (3, 4, 5)
+    df = spark.createDataFrame([("a b <pad> c",)], "text string")
+    assert df.select(again.encode(F.col("text"))).first()[0] == [1, 2, 4, 0]
+    with pytest.raises(ValueError):
+        JsonTokenizer(str(folder / "tokenizer.json"), None)
+
+
+def test_inputs_and_large_files(spark, tmp_path, monkeypatch):
+    with pytest.raises(FileNotFoundError):
+        outputs.require_input(spark, str(tmp_path / "none"))
+    data = tmp_path / "data"
+    data.mkdir()
+    for name, size in (("small", 10), ("large", 5000)):
+        (data / name).write_bytes(bytes(range(256)) * size)
+    want = {r["name"]: r["sha256"] for r in outputs.manifest(spark, str(data)).collect()}
+    monkeypatch.setattr(outputs, "HASHED_WHOLE", 3000)
+    assert {r["name"]: r["sha256"] for r in outputs.manifest(spark, str(data)).collect()} == want and len(want) == 2
+
+
+def test_run_log_names_arguments_and_limits():
+    from corpusmill.__main__ import parser, run_log
+
+    args = parser().parse_args(["pipeline", "--input_path", "in.jsonl", "--output_path", "out", "--keep_empty_completions"])
+    lines = run_log(args, {"number_of_training_files": 4, "max_batch_size_train": 7})
+    assert any("argument input_path in.jsonl" in x for x in lines) and any("at most 4 workers" in x and "at most 7" in x for x in lines)
+    assert any(x.startswith("pyspark ") for x in lines)
+
+
+def test_a_shard_of_many_files_keeps_its_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(outputs, "FILE_BYTES", 8 * 4 * 10)
+    rows = spark.range(95).select(F.lit("train").alias("dataset_type"), F.lit(1).alias("shard_no"), F.col("id").alias("seq"), F.array_repeat(F.col("id").cast("int"), 4).alias("input_ids"), F.array_repeat(F.lit(1), 4).alias("token_type_ids"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        outputs.write_packed(rows, str(tmp_path / "packed"), 4)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = outputs.read_packed(spark, str(tmp_path / "packed"))
+    assert sorted(r["seq"] for r in got.collect()) == list(range(95)) and got.select("_metadata.file_path").distinct().count() > 1
