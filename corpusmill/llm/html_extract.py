@@ -577,7 +577,12 @@ def templates_of(rows: DataFrame) -> DataFrame:
     different = rows.where("stream is null").select("host", "slot", "page").distinct()
     counts = different.groupBy("host", "slot").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.where("slot is null").select("host", F.col("n").alias("total"))
-    frequent = counts.where(F.col("slot").isNotNull() & (F.col("n") >= TEMPLATE_PAGES)).join(totals, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("total"))
+    often = counts.where(F.col("slot").isNotNull() & (F.col("n") >= TEMPLATE_PAGES))
+    # large hosts, of which there can only be so many, are broadcast and thus no hot key
+    pages = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    large = F.broadcast(totals.where(F.col("total") >= F.lit(pages * HOT_SHARE)))
+    small = totals.where(F.col("total") < F.lit(pages * HOT_SHARE))
+    frequent = often.join(large, "host").unionByName(often.join(large.select("host"), "host", "left_anti").join(small, "host")).where(F.col("n") >= TEMPLATE_SHARE * F.col("total"))
     # at most a page's texts / TEMPLATE_SHARE for a host
     return frequent.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template"), F.sort_array(F.collect_list(F.when(F.col("n") == F.col("total"), F.col("slot")))).alias("everywhere"))
 
