@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 from corpusmill.llm.common import LOWER, SEPARATOR, lean, pick, slices, table
 
 UNKNOWN = "und"
-#: Bound of the training sample: documents for each language, and languages.
+#: Bound of the training sample: documents for each language, and in all; with more languages there are fewer of each, and one at least.
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 400
+SAMPLE = 4000
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3, 4)
 _LETTER = regex.compile(r"\p{L}")
@@ -66,8 +66,8 @@ def document_sums(data: np.ndarray, off: np.ndarray, values: np.ndarray) -> tupl
             for j in range(values.shape[1]):
                 # runs that cross a document's end stand between its last own run and the next document: they are cut off
                 edges = np.stack([starts, starts + counts[some]], axis=1).reshape(-1)
-                cum = np.concatenate([[0], np.cumsum(values[:, j][ids])])
-                total[some, j] += cum[edges[1::2]] - cum[edges[0::2]]
+                # summed document by document, so that a score doesn't depend on what else is in the batch
+                total[some, j] += np.add.reduceat(np.append(values[:, j][ids], 0.0), edges)[0::2]
         count += counts
     return total, count
 
@@ -140,12 +140,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1) -> Model | None:
     """Learn from docs(doc_id, text, lang) that aren't held out and have a lang; None if there are none.
 
-    The sample has up to about per_language documents of each language, chosen by a hash of doc_id.
+    Every lang value is learned. The sample has up to about per_language documents of each, and SAMPLE of all, chosen by a
+    hash of doc_id (rows without one are in it together or not at all); documents that tie in it are ordered by lang.
     """
     known = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
+    per_language = max(1, min(per_language, SAMPLE // len(counts)))
     languages = sorted(counts)
     scale = 1 << 40
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, int(scale * per_language / n)))])

@@ -66,3 +66,21 @@ def test_training_separates_and_calibrates():
     model = langid.train(x, y, list("abcd"))
     assert ((x @ model.logits + model.bias).argmax(axis=1) == y).mean() > 0.97
     assert 0 < model.threshold <= 0.5
+
+
+def test_scores_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (1, 5, 700, 3, 0, 90)]
+    values = rng.normal(size=(langid.BUCKETS, 3))
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    together = langid.document_sums(data, off, values)[0]
+    for i, t in enumerate(texts):
+        alone = langid.document_sums(np.frombuffer(t, np.uint8), np.array([0, len(t)]), values)[0]
+        assert (together[i] == alone[0]).all()
+
+
+def test_every_language_is_learned_also_repeated_rows_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 60)
+    rows = [(i, f"{chr(97 + i % 20)}{chr(98 + i % 20)} " * 30, f"l{i % 20:02d}") for i in range(400)] * 2
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.languages == [f"l{k:02d}" for k in range(20)]
