@@ -11,7 +11,7 @@ from corpusmill.llm.common import materialize, release
 #: Nodes that may be broadcast because they have very many links: at most so many of twice the links can have the share that makes one.
 HEAVY = 20_000
 #: Links of a node that are never too many for one task.
-LIGHT = 10_000
+LIGHT = 1_000_000
 
 
 def _minimum(pairs: DataFrame) -> DataFrame:

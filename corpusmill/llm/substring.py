@@ -215,6 +215,7 @@ def remove_repeated(docs: DataFrame, width: int = WINDOW, digest: bool = False,
 
     A null text stays null and has no words; a null doc_id comes before all others; rows that
     share a doc_id are ordered by text and then by chunk, and each gets a row. No rows give no rows.
+    A document is in one chunk however long it is; a task needs some 20 bytes for each byte of a chunk's text.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
