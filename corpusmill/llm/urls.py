@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import pick, table
 
 #: (verdict, host, path)
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: Bound of the labelled URLs that the trees are grown and calibrated on.
 SAMPLE = 20_000
 #: Score from which an URL without a rule is blocked; scores are calibrated for it.
