@@ -31,23 +31,32 @@ def _without_last(ids: Column, token: int) -> Column:
     return F.when(F.get(ids, size - 1) == token, F.slice(ids, 1, F.greatest(size - 1, F.lit(0)))).otherwise(ids)
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it; columns that are named repeatedly may be computed each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _encoded(text: Column, tokenizer: Tokenizer) -> Column:
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(tokenizer.encode(text).cast("array<int>"))
+
+
 def with_pair_tokens(pairs: DataFrame, tokenizer: Tokenizer, chat: bool = False) -> DataFrame:
     """pairs(prompt, completion, category_id, ...) with tokens: prompt tokens, completion tokens and one end token if there are any.
 
     An end token that the tokenizer put behind prompt or completion goes, and so does a begin token before a completion
     that follows a prompt; with chat also one before the prompt.
     """
-    none = F.array().cast("array<int>")
-    encode = lambda text: F.when(text == "", none).otherwise(tokenizer.encode(text).cast("array<int>"))
-    out = pairs.withColumn("p__", encode(F.col("prompt"))).withColumn("c__", encode(F.col("completion")))
-    p = _without_last(F.col("p__"), tokenizer.eos_id)
-    p = _without_first(p, tokenizer.bos_id, F.lit(chat))
-    c = _without_first(F.col("c__"), tokenizer.bos_id, F.col("prompt") != "")
-    c = _without_last(c, tokenizer.eos_id)
     category = F.col("category_id")
-    both = F.concat(typed(p, PROMPT, category), typed(c, COMPLETION, category))
     end = F.array(F.struct(F.lit(tokenizer.eos_id).alias("token_id"), F.lit(COMPLETION).alias("token_type"), category.cast("int").alias("category_id")))
-    return out.withColumn("b__", both).withColumn("tokens", F.when(F.size("b__") > 0, F.concat("b__", end)).otherwise(F.col("b__")).cast(f"array<{TOKEN}>")).drop("p__", "c__", "b__")
+
+    def both(ids: Column) -> Column:
+        p = _without_first(_without_last(ids.p, tokenizer.eos_id), tokenizer.bos_id, F.lit(chat))
+        c = _without_last(_without_first(ids.c, tokenizer.bos_id, F.col("prompt") != ""), tokenizer.eos_id)
+        return F.concat(typed(p, PROMPT, category), typed(c, COMPLETION, category))
+
+    ids = F.struct(_encoded(F.col("prompt"), tokenizer).alias("p"), _encoded(F.col("completion"), tokenizer).alias("c"))
+    tokens = once(once(ids, both), lambda b: F.when(F.size(b) > 0, F.concat(b, end)).otherwise(b))
+    return pairs.withColumn("tokens", tokens.cast(f"array<{TOKEN}>"))
 
 
 def with_boundary(tokens: Column) -> Column:
@@ -94,14 +103,29 @@ def articles_from_pairs(pairs: DataFrame, tokenizer: Tokenizer, options: PrepOpt
 
 def articles_from_text(lines: DataFrame, tokenizer: Tokenizer, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """One article of each line(line_no, value): all completion, separator at the end. keep names columns that go along."""
-    pairs = lines.select("line_no", *keep, F.lit("").alias("prompt"), F.coalesce(F.col(text), F.lit("")).alias("completion"), F.lit(NO_CATEGORY).alias("category_id"))
-    made = with_pair_tokens(pairs, tokenizer)
-    return made.select("line_no", *keep, F.lit(0).cast("bigint").alias("art_no"), with_boundary(F.col("tokens")).alias("tokens"))
+    last = lambda ids: lambda i, at: F.struct(i.alias("token_id"), F.when(at == F.size(ids) - 1, SEP).otherwise(COMPLETION).alias("token_type"), F.lit(NO_CATEGORY).alias("category_id"))
+    tokens = once(text_ids(F.col(text), tokenizer), lambda ids: F.transform(ids, last(ids)))
+    return lines.select("line_no", *keep, F.lit(0).cast("bigint").alias("art_no"), tokens.cast(f"array<{TOKEN}>").alias("tokens"))
+
+
+def text_ids(text: Column, tokenizer: Tokenizer) -> Column:
+    """The bare ids of articles_from_text(): a tenth of the bytes of typed tokens. One end token, the separator, is last; none where there is no other token."""
+
+    def ended(ids: Column) -> Column:
+        own = F.get(ids, F.size(ids) - 1) == tokenizer.eos_id
+        return F.when(own & (F.size(ids) == 1), F.slice(ids, 1, 0)).when((F.size(ids) == 0) | own, ids).otherwise(F.concat(ids, F.array(F.lit(tokenizer.eos_id))))
+
+    return once(_encoded(F.coalesce(text, F.lit("")), tokenizer), ended)
+
+
+def exploded(array: Column, pos: str, name: str) -> Column:
+    """posexplode; drop the rows without pos. A plain posexplode has Spark filter by the array's size first, which computes the array once more."""
+    return F.posexplode_outer(array).alias(pos, name)
 
 
 def flat_tokens(articles: DataFrame, *keys: str) -> DataFrame:
     """One row per token: keys, pos, token_id, type_id, category_id."""
-    rows = articles.select(*keys, F.posexplode("tokens").alias("pos", "t"))
+    rows = articles.select(*keys, exploded(F.col("tokens"), "pos", "t")).where("pos is not null")
     return rows.select(*keys, F.col("pos").cast("bigint").alias("pos"), F.col("t.token_id").cast("bigint").alias("token_id"), F.col("t.token_type").cast("bigint").alias("type_id"), F.col("t.category_id").cast("bigint").alias("category_id"))
 
 

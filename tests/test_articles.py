@@ -129,3 +129,21 @@ def test_templates_with_a_head_of_their_own_make_one_pair(spark):
     assert row["n_pairs"] == 1 and row["prompt"].startswith("<s>sys <u>x</u><a>") and row["prompt"].endswith("z") and row["completion"].startswith("y") and row["completion"].endswith("w</a>")
     with pytest.raises(ValueError):
         chat.ChatTemplate("", "", "")
+
+
+@pytest.mark.parametrize("name", ["tokenize_documents", "tokenize_pairs"])
+def test_each_text_is_tokenized_once(spark, small, name):
+    from corpusmill.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == {"tokenize_documents": 1, "tokenize_pairs": 2}[name]
+
+
+def test_ends_and_separators_of_texts(spark):
+    tokenizer = SpaceTokenizer({"a": 5, "b": 6, "end": 9}, eos_id=9)
+    texts = ["a b", "end", "a end", "end end", "", None, "end a"]
+    want = [[5, 6, 9], [], [5, 9], [9, 9], [], [], [9, 5, 9]]
+    lines = spark.createDataFrame(list(enumerate(texts)), "line_no bigint, value string")
+    made = {r["line_no"]: r["tokens"] for r in art.articles_from_text(lines, tokenizer).collect()}
+    assert [[t.token_id for t in made[i]] for i in range(len(texts))] == want
+    assert all([t.token_type for t in made[i]] == [1] * (len(made[i]) - 1) + [3] * bool(made[i]) and all(t.category_id == -1 for t in made[i]) for i in made)
