@@ -12,8 +12,8 @@ COUNTERS = ("articles", "input_tokens", "output_tokens", "sequences", "prompt_to
 
 
 def article_metrics(articles: DataFrame, config: PackingConfig, length: int, by: str = "dataset_type") -> DataFrame:
-    """by, input_tokens, tokens_dropped_from_packing."""
-    n = F.size("tokens").cast("bigint")
+    """by, input_tokens, tokens_dropped_from_packing. Lengths n do for tokens."""
+    n = (F.col("n") if "n" in articles.columns else F.size("tokens")).cast("bigint")
     return articles.groupBy(by).agg(F.sum(n).alias("input_tokens"), F.sum(dropped_by_packing(n, config, length)).alias("tokens_dropped_from_packing"))
 
 

@@ -1,7 +1,8 @@
 """Articles to sequences of fixed length, for each split on its own.
 
 Input rows are (split_idx, line_no, art_no, tokens); output rows are (split_idx, seq, tokens) with
-exactly max_seq_length tokens, padded at the end.
+exactly max_seq_length tokens, padded at the end. The places of articles follow from their keys and lengths
+alone (n, their tokens). Tokens may be bare ids (array<int>) as well as typed ones, which are ten times their size in a shuffle.
 """
 
 from __future__ import annotations
@@ -11,14 +12,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from corpusmill.config import COMPLETION, NO_CATEGORY, PADDING, PackingConfig
 from corpusmill.functions.indexing import with_running_total
 from corpusmill.functions.shipping import ship
 
 
-def padded(tokens: Column, length: int, pad_id: int) -> Column:
-    pad = F.struct(F.lit(pad_id).alias("token_id"), F.lit(PADDING).alias("token_type"), F.lit(NO_CATEGORY).alias("category_id"))
+def padded(tokens: Column, length: int, pad_id: int, bare: bool = False) -> Column:
+    """bare: tokens are ids."""
+    pad = F.lit(pad_id) if bare else F.struct(F.lit(pad_id).alias("token_id"), F.lit(PADDING).alias("token_type"), F.lit(NO_CATEGORY).alias("category_id"))
     return F.concat(tokens, F.array_repeat(pad, F.lit(length) - F.size(tokens)))
 
 
@@ -31,14 +34,14 @@ def truncated(tokens: Column, length: int, overflow: str) -> Column:
 _KEY = ["split_idx", "line_no", "art_no"]
 
 
-def pack_full(articles: DataFrame, length: int, pad_id: int) -> DataFrame:
-    """All tokens of a split in one stream, cut every length tokens.
+def full_starts(keys: DataFrame) -> DataFrame:
+    """keys(split_idx, line_no, art_no, n) of articles that have tokens, with start, the tokens of their split before them."""
+    return with_running_total(keys.where("n > 0"), *_KEY, size="n", name="start")
 
-    Only keys and lengths are sorted; tokens go straight to their sequences. articles is read twice: pass a written table.
-    """
-    rows = articles.where(F.size("tokens") > 0).withColumn("n", F.size("tokens").cast("bigint"))
-    starts = with_running_total(rows.select(*_KEY, "n"), *_KEY, size="n", name="start")
-    rows = rows.drop("n").join(starts, _KEY).withColumn("end", F.col("start") + F.col("n"))
+
+def cut_full(rows: DataFrame, length: int, pad_id: int) -> DataFrame:
+    """rows(split_idx, start, n, tokens) to sequences; tokens go straight to theirs."""
+    rows = rows.withColumn("end", F.col("start") + F.col("n"))
     rows = rows.withColumn("seq", F.explode(F.sequence(F.expr(f"start div {length}"), F.expr(f"(end - 1) div {length}"))))
     first = F.greatest(F.col("seq") * length - F.col("start"), F.lit(0))
     size = F.least((F.col("seq") + 1) * length - F.col("start"), F.col("n")) - first
@@ -46,26 +49,47 @@ def pack_full(articles: DataFrame, length: int, pad_id: int) -> DataFrame:
     return _assembled(pieces, length, pad_id)
 
 
+def pack_full(articles: DataFrame, length: int, pad_id: int) -> DataFrame:
+    """All tokens of a split in one stream, cut every length tokens.
+
+    Only keys and lengths are sorted; tokens go straight to their sequences. articles is read twice: pass a written table.
+    """
+    rows = articles.where(F.size("tokens") > 0)
+    starts = full_starts(rows.select(*_KEY, F.size("tokens").cast("bigint").alias("n")))
+    return cut_full(rows.join(starts, _KEY), length, pad_id)
+
+
+def _is_bare(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType.elementType, IntegerType)
+
+
 def _assembled(pieces: DataFrame, length: int, pad_id: int) -> DataFrame:
+    bare = _is_bare(pieces, "piece")
     listed = pieces.groupBy("split_idx", "seq").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"))
-    return listed.select("split_idx", "seq", padded(F.flatten(F.col("p.piece")), length, pad_id).alias("tokens"))
+    return listed.select("split_idx", "seq", padded(F.flatten(F.col("p.piece")), length, pad_id, bare).alias("tokens"))
+
+
+def single_numbers(keys: DataFrame) -> DataFrame:
+    """keys(split_idx, line_no, art_no) with seq, their number in their split."""
+    return with_running_total(keys.withColumn("one", F.lit(1).cast("bigint")), *_KEY, size="one", name="seq").drop("one")
 
 
 def pack_single(articles: DataFrame, length: int, pad_id: int, overflow: str) -> DataFrame:
     """One article in each sequence. Only keys are sorted; articles is read twice: pass a written table."""
     rows = articles.where(F.size("tokens") > 0).withColumn("tokens", truncated(F.col("tokens"), length, overflow)).where("tokens is not null")
-    numbers = with_running_total(rows.select(*_KEY, F.lit(1).cast("bigint").alias("one")), *_KEY, size="one", name="seq")
-    return rows.join(numbers, _KEY).select("split_idx", "seq", padded(F.col("tokens"), length, pad_id).alias("tokens"))
+    numbers = single_numbers(rows.select(*_KEY))
+    return rows.join(numbers, _KEY).select("split_idx", "seq", padded(F.col("tokens"), length, pad_id, _is_bare(rows, "tokens")).alias("tokens"))
 
 
 def greedy_assignment(articles: DataFrame, length: int, overflow: str) -> DataFrame:
-    """(split_idx, line_no, art_no, seq, at, kept): sequence, place in it and tokens kept of every article that keeps any.
+    """(split_idx, line_no, art_no, seq, at, kept): sequence, place in it and tokens kept of every article that keeps any. Keys with n do for articles.
 
     Next fit: an article that doesn't fit closes the sequence, also if it is then dropped. Only lengths pass
     through Python, sorted within splits and streamed, so memory doesn't grow with a split.
     """
     ship(articles.sparkSession)
-    lengths = articles.select("split_idx", "line_no", "art_no", F.size("tokens").cast("bigint").alias("n")).where("n > 0")
+    n = F.col("n") if "n" in articles.columns else F.size("tokens")
+    lengths = articles.select("split_idx", "line_no", "art_no", n.cast("bigint").alias("n")).where("n > 0")
     ordered = lengths.repartition("split_idx").sortWithinPartitions("split_idx", "line_no", "art_no")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +113,12 @@ def greedy_assignment(articles: DataFrame, length: int, overflow: str) -> DataFr
 
 def pack_greedy(articles: DataFrame, length: int, pad_id: int, overflow: str) -> DataFrame:
     """Whole articles in order, as many as fit in each sequence."""
-    placed = articles.join(greedy_assignment(articles, length, overflow), ["split_idx", "line_no", "art_no"])
+    placed = articles.join(greedy_assignment(articles, length, overflow), _KEY)
+    return assembled_greedy(placed, length, pad_id, overflow)
+
+
+def assembled_greedy(placed: DataFrame, length: int, pad_id: int, overflow: str) -> DataFrame:
+    """placed(split_idx, seq, at, tokens) to sequences."""
     return _assembled(placed.select("split_idx", "seq", "at", truncated(F.col("tokens"), length, overflow).alias("piece")), length, pad_id)
 
 

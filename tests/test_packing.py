@@ -107,3 +107,25 @@ def test_names():
     for bad in ({"max_seq_length": 0}, {"packing_boundary": "x"}, {"attention_boundary": "x"}):
         with pytest.raises(ValueError):
             PrepOptions(**bad)
+
+
+@pytest.mark.parametrize("name", ["pack_full", "padding_by_sequence", "pack_single_truncate_right", "pack_greedy_truncate_right_sequences", "pack_greedy_drop", "dropped_tokens_single_drop"])
+def test_no_text_and_no_typed_token_is_written_or_shuffled(spark, small, name, monkeypatch):
+    from corpusmill.functions import indexing
+    from corpusmill.plans import queries
+
+    seen = []
+    for module in (indexing, queries):
+        monkeypatch.setattr(module, "written", lambda df, write=module.written: seen.append(df) or write(df))
+    seen.append(queries.QUERIES[name](spark, small))
+    wide = [f for df in seen[:-1] for f in df.schema if f.dataType.simpleString() not in ("bigint", "int", "array<int>")]
+    assert len(seen) > 1 and not wide
+    assert "token_type" not in seen[-1]._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", PackingConfig.names())
+def test_bare_ids_are_packed_like_typed_tokens(spark, name):
+    rng = random.Random(name)
+    typed = articles(spark, [rng.choice([0, 1, 5, 8, 9, 20]) for _ in range(60)])
+    found = packing.pack(typed.withColumn("tokens", packing.F.col("tokens.token_id")), PackingConfig.parse(name), 8, -7).collect()
+    assert [r["tokens"] for r in sorted(found, key=lambda r: r["seq"])] == [[t.token_id for t in s] for s in packed(typed, name, 8)]
