@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -159,27 +160,33 @@ def write_categories(spark: SparkSession, path: str, categories: DataFrame) -> N
 HASHED_WHOLE = 256 << 20
 
 
-def stream_sha256(spark: SparkSession, path: str, piece: int = 8 << 20) -> str:
-    """SHA-256 of a file of any size, read in pieces."""
+def stream_sha256(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file of any size, streamed inside the driver's JVM: no byte of it comes to Python, and a small buffer is all it takes."""
     fs, jpath = _path(spark, path)
-    stream, found = fs.open(jpath), hashlib.sha256()
+    found = spark._jvm.java.security.MessageDigest.getInstance("SHA-256")
+    stream = spark._jvm.java.security.DigestInputStream(fs.open(jpath), found)
     try:
-        while part := bytes(stream.readNBytes(piece)):
-            found.update(part)
+        stream.transferTo(spark._jvm.java.io.OutputStream.nullOutputStream())
     finally:
         stream.close()
-    return found.hexdigest()
+    return bytes(found.digest()).hex()
+
+
+#: Large files that the driver hashes at a time.
+HASHED_AT_ONCE = 8
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """(name, sha256, size, modified_time) of every file below a folder but those of the manifest itself and logs.
 
-    Files of HASHED_WHOLE bytes and less are hashed by Spark, each in a task's memory. Larger ones are read
-    piece by piece on the driver through the file system: a task has no file system of Hadoop's at hand in Python.
+    Files of HASHED_WHOLE bytes and less are hashed by Spark, each in a task's memory. Larger ones are streamed
+    through the driver's JVM, HASHED_AT_ONCE together: a task has no file system of Hadoop's at hand in Python.
     """
     every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     large = [r["path"] for r in every.where(F.col("length") > HASHED_WHOLE).select("path").collect()]
-    known = F.create_map(*[F.lit(x) for p in large for x in (p, stream_sha256(spark, p))]) if large else None
+    with ThreadPoolExecutor(HASHED_AT_ONCE) as pool:
+        hashes = list(pool.map(lambda p: stream_sha256(spark, p), large))
+    known = F.create_map(*[F.lit(x) for pair in zip(large, hashes) for x in pair]) if large else None
     files = every.where(F.col("length") <= HASHED_WHOLE).withColumn("sha256", F.sha2("content", 256)).drop("content")
     if known is not None:
         files = files.unionByName(every.where(F.col("length") > HASHED_WHOLE).drop("content").withColumn("sha256", F.element_at(known, F.col("path"))))

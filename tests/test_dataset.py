@@ -298,3 +298,14 @@ def test_a_shard_of_many_files_keeps_its_order(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     got = outputs.read_packed(spark, str(tmp_path / "packed"))
     assert sorted(r["seq"] for r in got.collect()) == list(range(95)) and got.select("_metadata.file_path").distinct().count() > 1
+
+
+def test_large_files_are_hashed_without_bringing_them_to_python(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    client, seen = spark._jvm._gateway_client, []
+    monkeypatch.setattr(client, "send_command", lambda *a, send=client.send_command, **k: (seen.append(send(*a, **k)), seen[-1])[1])
+    for n in (0, 1, 8191, 3_000_001):
+        (tmp_path / f"f{n}").write_bytes(bytes(range(251)) * (n // 251) + b"x" * (n % 251))
+        assert outputs.stream_sha256(spark, str(tmp_path / f"f{n}")) == hashlib.sha256((tmp_path / f"f{n}").read_bytes()).hexdigest()
+    assert seen and sum(len(str(x)) for x in seen) < 100_000
